@@ -1,5 +1,5 @@
 """Marketplace order analytics as lazy Spark DataFrame operators."""
 
-from storelens.session import configure, materialize
+from storelens.session import configure, materialize, release
 
-__all__ = ["configure", "materialize"]
+__all__ = ["configure", "materialize", "release"]

@@ -116,13 +116,22 @@ def fit_rf(train: DataFrame, encoding: Encoding, params: Mapping[str, int] | Non
     return Pipeline(stages=[*_encoded(encoding, scaled=False), forest]).fit(with_weights(train))
 
 
+@dataclass(frozen=True)
+class Tuned:
+    """The refitted best forest, its settings, and the score of every grid point."""
+
+    model: PipelineModel
+    params: dict[str, int]
+    scores: DataFrame
+
+
 def tune_rf(
     train: DataFrame,
     encoding: Encoding,
     grid: Mapping[str, Sequence[int]] = FULL_GRID,
     folds: int = 3,
     parallelism: int = 2,
-) -> tuple[PipelineModel, dict[str, int], float]:
+) -> Tuned:
     """Grid search by cross-validated recall of the low-review class.
 
     Folds come from the ``fold`` column of the stratified split. Features are assembled
@@ -146,9 +155,12 @@ def tune_rf(
     ).fit(ready)
     ready.unpersist()
     best = max(range(len(search.avgMetrics)), key=lambda i: search.avgMetrics[i])
-    chosen = {p.name: v for p, v in search.getEstimatorParamMaps()[best].items()}
+    points = [{p.name: v for p, v in point.items()} for point in search.getEstimatorParamMaps()]
+    names = list(grid)
+    rows = [(*[point[n] for n in names], float(m)) for point, m in zip(points, search.avgMetrics, strict=True)]
+    scores = train.sparkSession.createDataFrame(rows, ", ".join([f"{n} long" for n in names] + ["cv_recall double"]))
     model = PipelineModel(stages=[*prepare.stages, search.bestModel])
-    return model, chosen, search.avgMetrics[best]
+    return Tuned(model, points[best], scores)
 
 
 # --- evaluation -------------------------------------------------------------------------

@@ -56,11 +56,6 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _unpivot_counts(row: DataFrame, names: Sequence[str], key: str, value: str) -> DataFrame:
-    """One wide row of counts as (name, count) rows."""
-    return row.unpivot([], list(names), key, value)
-
-
 def row_counts(tables: Tables) -> DataFrame:
     return stack(
         [
@@ -130,7 +125,7 @@ def _orphans(child: DataFrame, parent: DataFrame, on: str) -> DataFrame:
     A null key has no parent, so it is an orphan too.
     """
     keys = child.groupBy(on).agg(F.count(F.lit(1)).alias("rows"))
-    return keys.join(parent.select(on), on, "left_anti")
+    return keys.join(parent.select(on).distinct(), on, "left_anti")
 
 
 def orphan_count(child: DataFrame, parent: DataFrame, on: str) -> DataFrame:
@@ -161,7 +156,7 @@ def childless(parent: DataFrame, child: DataFrame, on: str, by: str) -> DataFram
     """Parents without child rows, counted by an attribute."""
     return (
         parent.select(on, by)
-        .join(child.select(on), on, "left_anti")
+        .join(child.select(on).distinct(), on, "left_anti")
         .groupBy(by)
         .agg(F.count(F.lit(1)).alias("childless"))
     )
@@ -208,7 +203,7 @@ def audit_null_profile(tables: Tables) -> DataFrame:
 def range_violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Rows breaking each rule, all rules in one pass; a null breaks none."""
     wide = df.agg(*[rows_where(broken).alias(name) for name, broken in rules.items()])
-    return _unpivot_counts(wide, list(rules), "rule", "violations")
+    return wide.unpivot([], list(rules), "rule", "violations")
 
 
 def audit_ranges(tables: Tables) -> DataFrame:

@@ -271,11 +271,11 @@ def orders_enriched(t: dict[str, DataFrame]) -> DataFrame:
 def review_monthly(t: dict[str, DataFrame]) -> DataFrame:
     """Every review of a known order with its month label and the order's score."""
     created = F.col("review_creation_date")
+    scores = review_agg(t["reviews"]).join(t["orders"].select("order_id"), "order_id", "left_semi")
     return (
         t["reviews"]
         .select("order_id", "review_creation_date")
-        .join(t["orders"].select("order_id"), "order_id")
-        .join(review_agg(t["reviews"]), "order_id")
+        .join(scores, "order_id")
         .select(
             "order_id",
             "review_creation_date",

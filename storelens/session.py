@@ -20,6 +20,7 @@ RUNTIME_CONF = {
 }
 
 _local_folder: str | None = None
+_written: list[str] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -52,9 +53,20 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/storelens-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables this process has materialised; call it when no result is still needed."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        count += bool(path.getFileSystem(conf).delete(path, True))
+    return count
+
+
 class CachedFrame:
     """One persisted DataFrame shared by several analyses.
 

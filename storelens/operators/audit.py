@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import rows_where
+from storelens.sources.files import Tables
 from storelens.sources.schemas import COMPOSITE_KEYS, REFERENCES, SINGLE_KEYS, TABLES
 
-Tables = dict[str, DataFrame]
 
 # Columns whose completeness is reported, and the largest accepted gap
 # between an order's items and its payments.

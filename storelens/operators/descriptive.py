@@ -16,6 +16,7 @@ from storelens.functions.exprs import avg_of, pct, ratio, total
 from storelens.operators.kpi import uses
 from storelens.operators.mart import before_cutoff, item_categories
 from storelens.operators.stats import histogram, share_of_total
+from storelens.sources.files import Tables
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
@@ -102,7 +103,7 @@ def by_hour(mart: DataFrame) -> DataFrame:
     )
 
 
-def category_items(t: dict[str, DataFrame], k: int = 10, cutoff: str | None = None) -> DataFrame:
+def category_items(t: Tables, k: int = 10, cutoff: str | None = None) -> DataFrame:
     """Top categories by item revenue, at item grain."""
     items = item_categories(t).select("order_id", "product_category_name_english", "price")
     if cutoff is not None:

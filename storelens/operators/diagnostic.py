@@ -9,6 +9,7 @@ from storelens.functions.exprs import PLACES, avg_of, pct, ratio, rows_where
 from storelens.operators.kpi import uses
 from storelens.operators.mart import item_categories, item_mart, order_mart
 from storelens.operators.stats import corr_matrix, spearman, welch_ttest
+from storelens.sources.files import Tables
 
 CORR_COLUMNS = (
     "order_revenue",
@@ -82,7 +83,7 @@ def monthly_late_corr(mart: DataFrame) -> DataFrame:
 # --- categories ---------------------------------------------------------------------
 
 
-def category_quality(t: dict[str, DataFrame], min_orders: int = 100) -> DataFrame:
+def category_quality(t: Tables, min_orders: int = 100) -> DataFrame:
     """Score, delay and freight per category, averaged over items.
 
     Items are reduced to one row per (order, category) before the order columns are
@@ -246,7 +247,7 @@ def installments_effect(mart: DataFrame, min_orders: int = 50) -> DataFrame:
     )
 
 
-def installments_items(t: dict[str, DataFrame]) -> DataFrame:
+def installments_items(t: Tables) -> DataFrame:
     """The same at payment x item grain, without building the pairs.
 
     Each payment row meets every item row of its order, so an order weighs
@@ -278,7 +279,7 @@ def installments_items(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def category_freight(t: dict[str, DataFrame], cutoff: str | None = None) -> DataFrame:
+def category_freight(t: Tables, cutoff: str | None = None) -> DataFrame:
     """Orders and average freight share of the item price, per category."""
     price = F.col("price").cast("double")
     per_order = (
@@ -293,7 +294,7 @@ def category_freight(t: dict[str, DataFrame], cutoff: str | None = None) -> Data
     )
 
 
-def freight_ratio(t: dict[str, DataFrame], cutoff: str | None = None, k: int = 10) -> DataFrame:
+def freight_ratio(t: Tables, cutoff: str | None = None, k: int = 10) -> DataFrame:
     return (
         category_freight(t, cutoff)
         .orderBy(F.col("avg_freight_pct").desc_nulls_last(), "category")
@@ -301,7 +302,7 @@ def freight_ratio(t: dict[str, DataFrame], cutoff: str | None = None, k: int = 1
     )
 
 
-def freight_volume_spearman(t: dict[str, DataFrame], cutoff: str | None = None) -> DataFrame:
+def freight_volume_spearman(t: Tables, cutoff: str | None = None) -> DataFrame:
     categories = category_freight(t, cutoff)
     rho = spearman(categories, "avg_freight_pct", "orders")
     return categories.sparkSession.createDataFrame([(round(rho, PLACES),)], "spearman double")

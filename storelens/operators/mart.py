@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import delay_days, month_label
+from storelens.sources.files import Tables
 
 # Label of a product without a translated category, and the first instant
 # after the analysis window of the published data set.
@@ -107,12 +108,12 @@ def review_agg(reviews: DataFrame) -> DataFrame:
 # --- products ---------------------------------------------------------------------
 
 
-def _categories(t: dict[str, DataFrame]) -> DataFrame:
+def _categories(t: Tables) -> DataFrame:
     """product_id with its category label."""
     return products_enriched(t).select("product_id", "product_category_name_english")
 
 
-def products_enriched(t: dict[str, DataFrame]) -> DataFrame:
+def products_enriched(t: Tables) -> DataFrame:
     return (
         t["products"]
         .join(t["category_translation"], "product_category_name", "left")
@@ -148,7 +149,7 @@ def order_ratio_columns() -> dict[str, Column]:
 
 
 def order_mart(
-    t: dict[str, DataFrame],
+    t: Tables,
     cutoff: str | None = None,
     columns: Iterable[str] | None = None,
     delay: str = "boundary",
@@ -232,7 +233,7 @@ def quality_flagged(orders: DataFrame) -> DataFrame:
     return orders.withColumn("is_timestamp_anomaly", is_timestamp_anomaly())
 
 
-def orders_enriched(t: dict[str, DataFrame]) -> DataFrame:
+def orders_enriched(t: Tables) -> DataFrame:
     """The warehouse order view: all orders, every payment type, anomaly flag; an
     unreviewed order counts as not low."""
     items = t["order_items"].groupBy("order_id").agg(
@@ -268,7 +269,7 @@ def orders_enriched(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def review_monthly(t: dict[str, DataFrame]) -> DataFrame:
+def review_monthly(t: Tables) -> DataFrame:
     """Every review of a known order with its month label and the order's score."""
     created = F.col("review_creation_date")
     scores = review_agg(t["reviews"]).join(t["orders"].select("order_id"), "order_id", "left_semi")
@@ -285,7 +286,7 @@ def review_monthly(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def item_mart(t: dict[str, DataFrame], cutoff: str | None = None) -> DataFrame:
+def item_mart(t: Tables, cutoff: str | None = None) -> DataFrame:
     orders = before_cutoff(t["orders"].select("order_id", "order_purchase_timestamp"), cutoff)
     return (
         t["order_items"]
@@ -301,7 +302,7 @@ def item_mart(t: dict[str, DataFrame], cutoff: str | None = None) -> DataFrame:
     )
 
 
-def item_categories(t: dict[str, DataFrame]) -> DataFrame:
+def item_categories(t: Tables) -> DataFrame:
     """Items of known products with their category."""
     return t["order_items"].join(_categories(t), "product_id")
 

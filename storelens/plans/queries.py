@@ -14,11 +14,10 @@ from storelens.models import features as feats
 from storelens.operators import audit, customers, descriptive, diagnostic, kpi, mart
 from storelens.plans import views
 from storelens.session import configure, materialize
-from storelens.sources.files import append_rows
+from storelens.sources.files import Tables, append_rows
 from storelens.sources.star import STAR_CUTOFF, STAR_TRANSLATION_FIXES, commerce_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-Tables = dict[str, DataFrame]
 
 # Smaller than risk.FULL_GRID and than an unlimited depth, which take hours on eight cores.
 REGISTRY_GRID = {"numTrees": (20, 40), "maxDepth": (5, 10), "minInstancesPerNode": (1, 5)}
@@ -36,7 +35,9 @@ def plain_types(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+@lru_cache(maxsize=8)
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The derived tables of a folder; only the lazy plans are kept."""
     return commerce_tables(configure(spark), sf_dir)
 
 
@@ -245,6 +246,11 @@ QUERIES: dict[str, Query] = {
     "category_orders_top10": _on_mart(descriptive.category_orders),
     "review_distribution": _on_mart(descriptive.score_distribution),
     "delivery_summary": _on_mart(descriptive.delivery_summary),
+    "delivery_summary_elapsed": _on_tables(
+        lambda t: descriptive.delivery_summary(
+            mart.order_mart(t, STAR_CUTOFF, descriptive.delivery_summary.columns, delay="floor")
+        )
+    ),
     "delay_histogram": _on_mart(descriptive.delay_histogram),
     "delay_histogram_full": _on_mart(descriptive.delay_histogram_full),
     "late_rate_by_state": _on_mart(descriptive.late_by_state),
@@ -272,6 +278,9 @@ QUERIES: dict[str, Query] = {
     "order_corr_matrix": _on_mart(diagnostic.order_corr_matrix),
     # customers
     "rfm_base": _on_rfm(lambda rfm: rfm.drop("revenue"), stored=False),
+    "rfm_sample": _on_rfm(
+        lambda rfm: clusters.sample_n(rfm.drop("revenue"), customers.PERSON, 5000), stored=False
+    ),
     "rfm_ntile": _on_rfm(lambda rfm: customers.rfm_ntile(rfm).drop("revenue")),
     "rfm_quantile": _on_rfm(lambda rfm: customers.rfm_quantile(rfm).drop("revenue")),
     "rfm_segments": _on_rfm(lambda rfm: _segments(rfm).drop("revenue")),
@@ -300,7 +309,9 @@ QUERIES: dict[str, Query] = {
     "rfm_kmeans_profile": _on_rfm(lambda rfm: clusters.cluster_profile(clusters.kmeans_segments(rfm))),
     # model
     "class_balance": _on_mart(feats.class_balance),
+    "class_balance_unreviewed_negative": _on_mart(feats.class_balance, unreviewed="negative"),
     "model_features": _on_tables(_feature_rows),
+    "model_features_v1": _on_tables(partial(_feature_rows, version=1)),
     "one_hot_features": _on_tables(_one_hot_features),
     "split_counts": _on_tables(lambda t: feats.split_counts(feats.stratified_split(_feature_rows(t)))),
     "class_weights": _on_tables(lambda t: feats.class_weights(_feature_rows(t))),

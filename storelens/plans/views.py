@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from storelens.operators import audit, customers, kpi, mart
 from storelens.operators.customers import rfm_ntile, rfm_segments
+from storelens.sources.files import Tables
 
 
-def published_views(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def published_views(t: Tables) -> dict[str, DataFrame]:
     """The views by name; all cover every order, without a cutoff."""
 
     def over(function):
@@ -31,7 +32,7 @@ def published_views(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def register_views(t: dict[str, DataFrame]) -> list[str]:
+def register_views(t: Tables) -> list[str]:
     for name, df in t.items():
         df.createOrReplaceTempView(name)
     views = published_views(t)
@@ -40,7 +41,7 @@ def register_views(t: dict[str, DataFrame]) -> list[str]:
     return [*t, *views]
 
 
-def audit_report(t: dict[str, DataFrame]) -> DataFrame:
+def audit_report(t: Tables) -> DataFrame:
     """All counting checks as (check, subject, violations)."""
 
     def part(check: str, df: DataFrame, subject: str, violations: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType, TimestampNTZType, TimestampType
 
 from storelens.sources.schemas import SCHEMAS, TABLES
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 
 def read_csv_tables(

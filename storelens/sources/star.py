@@ -7,9 +7,13 @@ supplied data; it is kept as it is, and the composite-key audit reports it.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelens.sources.schemas import TABLES
+
 STAR_CUTOFF = "2001-08-01"
 STAR_TRANSLATION_FIXES = (("promo_brand#1", "PROMO_BRAND#1"), ("small_brand#2", "SMALL_BRAND#2"))
 
@@ -26,25 +30,51 @@ def _int(expr) -> F.Column:
     return expr.cast("int")
 
 
-def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    names = ("nation", "customer", "part", "orders", "lineitem")
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
-
-
-def commerce_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    star = star_tables(spark, sf_dir)
-    orders = _orders(star["orders"])
-    items = _order_items(star["lineitem"])
-    products = _products(star["part"])
-    return {
-        "customers": _customers(star["orders"], star["customer"], star["nation"]),
-        "orders": orders.drop("o_custkey"),
-        "order_items": items,
-        "payments": _payments(star["orders"], items),
-        "reviews": _reviews(orders),
-        "products": products,
-        "category_translation": _translation(products),
-    }
+class DerivedTables(Mapping):
+    """The seven tables, each derived when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+        self._scans: dict[str, DataFrame] = {}
+        self._built: dict[str, DataFrame] = {}
+
+    def _scan(self, name: str) -> DataFrame:
+        if name not in self._scans:
+            self._scans[name] = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self._scans[name]
+
+    def _build(self, name: str) -> DataFrame:
+        scan = self._scan
+        if name == "customers":
+            return _customers(scan("orders"), scan("customer"), scan("nation"))
+        if name == "orders":
+            return _orders(scan("orders")).drop("o_custkey")
+        if name == "order_items":
+            return _order_items(scan("lineitem"))
+        if name == "payments":
+            return _payments(scan("orders"), self["order_items"])
+        if name == "reviews":
+            return _reviews(self["orders"])
+        if name == "products":
+            return _products(scan("part"))
+        return _translation(self["products"])
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise KeyError(name)
+        if name not in self._built:
+            self._built[name] = self._build(name)
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+
+def commerce_tables(spark: SparkSession, sf_dir: str) -> DerivedTables:
+    return DerivedTables(spark, sf_dir)
 
 
 def _customers(orders, customer, nation) -> DataFrame:

@@ -237,6 +237,22 @@ def date_range(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("first"), F.max(column).alias("last"))
 
 
+def table_profile(df: DataFrame, name: str) -> DataFrame:
+    """Null, range and chronology violations of one table in a single pass over it."""
+    rules = {("nulls", f"{name}.{c}"): F.col(c).isNull() for c in NULL_PROFILES[name]}
+    rules |= {("ranges", rule): broken for rule, broken in range_rules().get(name, {}).items()}
+    if name == "orders":
+        rules |= {("chronology", f"{a} < {b}"): F.col(a) < F.col(b) for a, b in CHRONOLOGY_PAIRS}
+    counted = df.agg(*[rows_where(broken).alias(f"r{i}") for i, broken in enumerate(rules.values())])
+    labelled = F.array(
+        *[
+            F.struct(F.lit(check).alias("check"), F.lit(subject).alias("subject"), F.col(f"r{i}").alias("violations"))
+            for i, (check, subject) in enumerate(rules)
+        ]
+    )
+    return counted.select(F.inline(labelled))
+
+
 # --- across tables ------------------------------------------------------------------
 
 

@@ -281,7 +281,7 @@ QUERIES: dict[str, Query] = {
     "rfm_sample": _on_rfm(
         lambda rfm: clusters.sample_n(rfm.drop("revenue"), customers.PERSON, 5000), stored=False
     ),
-    "rfm_ntile": _on_rfm(lambda rfm: customers.rfm_ntile(rfm).drop("revenue")),
+    "rfm_ntile": _on_rfm(lambda rfm: customers.rfm_ntile(rfm).drop("revenue"), stored=False),
     "rfm_quantile": _on_rfm(lambda rfm: customers.rfm_quantile(rfm).drop("revenue")),
     "rfm_segments": _on_rfm(lambda rfm: _segments(rfm).drop("revenue")),
     "rfm_summary": _on_rfm(lambda rfm: customers.rfm_summary(_segments(rfm))),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.operators import audit, customers, kpi, mart
@@ -42,30 +42,21 @@ def register_views(t: Tables) -> list[str]:
 
 
 def audit_report(t: Tables) -> DataFrame:
-    """All counting checks as (check, subject, violations)."""
+    """All counting checks as (check, subject, violations).
 
-    def part(check: str, df: DataFrame, subject: str, violations: str) -> DataFrame:
-        return df.select(
-            F.lit(check).alias("check"),
-            F.col(subject).alias("subject") if subject in df.columns else F.lit(subject).alias("subject"),
-            F.col(violations).cast("long").alias("violations"),
-        )
+    Null, range and chronology checks share one pass per table.
+    """
 
-    named = audit.audit_dup_summary(t).withColumn("subject", F.concat_ws(".", "tbl", "key"))
-    nulls = audit.audit_null_profile(t).withColumn("subject", F.concat_ws(".", "tbl", "column"))
+    def part(check: str, df: DataFrame, subject: Column, violations: str) -> DataFrame:
+        return df.select(F.lit(check).alias("check"), subject.alias("subject"), F.col(violations).alias("violations"))
+
+    people = audit.conflicting(t["customers"], "customer_unique_id", "customer_state")
     return audit.stack(
         [
-            part("duplicate keys", named, "subject", "dup_groups"),
-            part("orphans", audit.audit_orphans(t), "reference", "orphan_count"),
-            part("nulls", nulls, "subject", "nulls"),
-            part("ranges", audit.audit_ranges(t), "rule", "violations"),
-            part("chronology", audit.audit_chronology(t), "rule", "violations"),
-            part("reconciliation", audit.audit_reconcile(t), "order amounts", "mismatched"),
-            part(
-                "conflicting attributes",
-                audit.conflicting(t["customers"], "customer_unique_id", "customer_state"),
-                "customer_state",
-                "conflicting",
-            ),
+            part("duplicate keys", audit.audit_dup_summary(t), F.concat_ws(".", "tbl", "key"), "dup_groups"),
+            part("orphans", audit.audit_orphans(t), F.col("reference"), "orphan_count"),
+            *[audit.table_profile(t[name], name) for name in audit.NULL_PROFILES],
+            part("reconciliation", audit.audit_reconcile(t), F.lit("order amounts"), "mismatched"),
+            part("conflicting attributes", people, F.lit("customer_state"), "conflicting"),
         ]
     )

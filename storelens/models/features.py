@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import pct
 from storelens.operators.descriptive import every_row
 from storelens.operators.kpi import uses
 from storelens.operators.mart import top_groups
-from storelens.operators.ranking import global_rank
+from storelens.session import materialize
 
 LABEL = "is_low_review"
 CATEGORY = "product_category_name_english"
@@ -94,21 +94,35 @@ def stratified_split(
 ) -> DataFrame:
     """``df`` with ``is_train`` and ``fold``.
 
-    Rows are put in a seeded pseudo-random order within each label, globally and without
-    one task per label; the first ``frac`` of each label train, and positions are dealt
-    round-robin to the folds.
+    Rows of each label are put in the order of a seeded hash of the id; the first ``frac``
+    of them train, and positions are dealt round-robin to the folds. The leading bits of
+    the hash give even buckets, so a window per (label, bucket) and the sizes of earlier
+    buckets give exact positions.
     """
-    shuffled = F.xxhash64(F.col(key), F.lit(seed))
-    ranked = global_rank(df, [F.col(label), shuffled], key, buckets)
-    per_label = ranked.groupBy(F.col(label).alias("_label")).agg(
-        (F.min("rn") - 1).alias("_before"), F.count(F.lit(1)).alias("_size")
+    wanted = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(1, (wanted - 1).bit_length())
+    stored = materialize(df.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed)))).withColumn(
+        "_bucket", F.shiftright("_hash", 64 - bits).cast("int")
     )
-    place = F.col("rn") - F.col("_before")
+    in_label = Window.partitionBy(label)
+    earlier = in_label.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stored.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    prefix = sizes.select(
+        label,
+        "_bucket",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(in_label).alias("_size"),
+    )
+    local = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_hash", key))
+    place = F.col("_before") + F.col("_local")
     return (
-        ranked.join(F.broadcast(per_label), F.col(label) == F.col("_label"))
-        .withColumn("is_train", (place <= F.floor(F.col("_size") * frac)).cast("int"))
-        .withColumn("fold", (place % folds).cast("int"))
-        .drop("rn", "n", "_label", "_before", "_size")
+        stored.withColumn("_local", local)
+        .join(F.broadcast(prefix), [label, "_bucket"])
+        .select(
+            *df.columns,
+            (place <= F.floor(F.col("_size") * frac)).cast("int").alias("is_train"),
+            (place % folds).cast("int").alias("fold"),
+        )
     )
 
 

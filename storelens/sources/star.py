@@ -140,10 +140,10 @@ def _order_items(lineitem) -> DataFrame:
 
 
 def _payments(orders, items) -> DataFrame:
-    """Up to three payment rows per order, built from one scan of the orders."""
+    """One payment per order, a second of ten for some, and a third of zero for a few."""
     key = F.col("o_orderkey")
     totals = items.groupBy(F.col("order_id").alias("o_orderkey")).agg(
-        (F.sum("price") + F.sum("freight_value")).cast("decimal(12,2)").alias("tot")
+        (F.sum("price") + F.sum("freight_value")).cast("decimal(18,2)").alias("tot")
     )
     first_type = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "credit_card")
@@ -154,30 +154,25 @@ def _payments(orders, items) -> DataFrame:
     )
     installments = F.when(key % 700 == 0, 0).otherwise(_int(1 + (F.col("o_custkey") * 7 + key) % 10))
     amount = (
-        F.coalesce(F.col("tot"), F.col("o_totalprice").cast("decimal(12,2)"))
+        F.coalesce(F.col("tot"), F.col("o_totalprice").cast("decimal(18,2)"))
         - F.when(key % 20 == 0, 10).otherwise(0)
         + F.when(key % 380 == 0, 1).otherwise(0)
-    ).cast("decimal(12,2)")
+    )
 
-    def row(sequential, kind, count, value):
-        return F.struct(
+    def rows(df, sequential, kind, count, value):
+        return df.select(
+            key.alias("order_id"),
             F.lit(sequential).alias("payment_sequential"),
             kind.alias("payment_type"),
-            count.cast("int").alias("payment_installments"),
-            value.cast("decimal(12,2)").alias("payment_value"),
+            count.alias("payment_installments"),
+            value.cast("decimal(18,2)").alias("payment_value"),
         )
 
-    voucher = F.lit("voucher")
-    rows = F.array(
-        row(1, first_type, installments, amount),
-        F.when(key % 20 == 0, row(2, voucher, F.lit(1), F.lit(10))),
-        F.when(key % 900 == 0, row(3, voucher, F.lit(1), F.lit(0))),
-    )
-    return (
-        orders.join(totals, "o_orderkey", "left")
-        .select(key.alias("order_id"), F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("p"))
-        .select("order_id", "p.*")
-    )
+    voucher, once = F.lit("voucher"), F.lit(1)
+    first = rows(orders.join(totals, "o_orderkey", "left"), 1, first_type, installments, amount)
+    second = rows(orders.filter(key % 20 == 0), 2, voucher, once, F.lit(10))
+    third = rows(orders.filter(key % 900 == 0), 3, voucher, once, F.lit(0))
+    return first.unionByName(second).unionByName(third)
 
 
 def _reviews(orders) -> DataFrame:
@@ -189,10 +184,11 @@ def _reviews(orders) -> DataFrame:
     pick = (key * 17) % 20
     on_time_score = F.when(pick < 1, 1).when(pick < 2, 2).when(pick < 4, 3).when(pick < 8, 4).otherwise(5)
 
-    def row(review_id, score, days):
+    def rows(df, review_id, score, days):
         created = F.col("order_purchase_timestamp") + _days(F.lit(days))
-        return F.struct(
+        return df.select(
             review_id.alias("review_id"),
+            "order_id",
             score.cast("int").alias("review_score"),
             F.when(key % 8 == 0, F.concat(F.lit("title "), key.cast("string"))).alias("review_comment_title"),
             F.when(key % 5 < 2, F.concat(F.lit("message "), key.cast("string"))).alias("review_comment_message"),
@@ -200,24 +196,11 @@ def _reviews(orders) -> DataFrame:
             (created + _days(F.lit(2))).alias("review_answer_timestamp"),
         )
 
+    reviewed = orders.filter(key % 130 != 0)
     first_id = F.when(key % 250 == 1, key - 1).otherwise(key)
-    rows = F.array(
-        row(first_id, F.when(late, 1 + (key * 11) % 4).otherwise(on_time_score), 30),
-        F.when(key % 180 == 0, row(-key, F.lit(5), 31)),
-    )
-    return (
-        orders.filter(key % 130 != 0)
-        .select(key, F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
-        .select(
-            "r.review_id",
-            "order_id",
-            "r.review_score",
-            "r.review_comment_title",
-            "r.review_comment_message",
-            "r.review_creation_date",
-            "r.review_answer_timestamp",
-        )
-    )
+    first = rows(reviewed, first_id, F.when(late, 1 + (key * 11) % 4).otherwise(on_time_score), 30)
+    second = rows(reviewed.filter(key % 180 == 0), -key, F.lit(5), 31)
+    return first.unionByName(second)
 
 
 def _products(part) -> DataFrame:

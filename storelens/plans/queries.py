@@ -19,7 +19,7 @@ from storelens.sources.star import STAR_CUTOFF, STAR_TRANSLATION_FIXES, commerce
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Smaller than risk.FULL_GRID and than an unlimited depth, which take hours on eight cores.
+# Smaller than risk.FULL_GRID and than an unlimited depth, one fit of which takes minutes on eight cores.
 REGISTRY_GRID = {"numTrees": (20, 40), "maxDepth": (5, 10), "minInstancesPerNode": (1, 5)}
 REGISTRY_FOREST = {"numTrees": 200, "maxDepth": 10}
 

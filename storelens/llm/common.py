@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,26 @@ class Workspace:
 
     def __exit__(self, *_: object) -> None:
         self.close()
+
+
+def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal ``names``, which must lie together, as one batch each. For groups of bounded size."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch[n].to_numpy(zero_copy_only=False) for n in names]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[lo] for c in columns)
+            if held and key != last:
+                yield held[0] if len(held) == 1 else pa.concat_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)

@@ -156,10 +156,11 @@ def _candidates(h: dict, thresholds: dict[str, list[float]], grow: bool):
             yield Condition(f, False, k, t), below[0], below[1]
 
 
-def _gain(bad: int, good: int, bad0: int, good0: int) -> float:
+def _gain(bad: int, good: int, bad0: int, good0: int, cost: float) -> float:
+    """Bits gained about the covered bad rows; a good row weighs ``cost`` bad ones."""
     if bad == 0 or bad0 == 0:
         return 0.0
-    return bad * (math.log2(bad / (bad + good)) - math.log2(bad0 / (bad0 + good0)))
+    return bad * (math.log2(bad / (bad + cost * good)) - math.log2(bad0 / (bad0 + cost * good0)))
 
 
 def learn_rules(
@@ -171,20 +172,22 @@ def learn_rules(
     cuts: int = 12,
     max_conditions: int = 4,
     max_rules: int = 24,
-    min_precision: float = 0.9,
+    cost: float = 100.0,
+    min_precision: float = 0.97,
     min_share: float = 0.0005,
     workspace: Workspace | None = None,
 ) -> list[Rule]:
     """Rules for the class ``label_column = 0``, in order.
 
-    ``cuts``: thresholds per feature and class, at equal steps of rank. A rule stays while its
+    ``cuts``: thresholds per feature and class, at equal steps of rank. ``cost``: how many rejected bad
+    documents a rejected good one outweighs. Rows that fail the base checks teach nothing. A rule stays while its
     pruned form covers at least ``min_share`` of the pruning rows' bad ones and has at least
     ``min_precision`` there; the first that doesn't ends the list, as does ``max_rules``.
     """
     ws = Workspace.of(statistics.sparkSession, workspace)
     truth = labels.groupBy(id_column).agg(F.min(label_column).alias("_label")).where(F.col("_label").isin(0, 1))
     values = features()
-    known = statistics.join(truth, id_column).select(
+    known = statistics.where(~base_failed()).join(truth, id_column).select(
         (F.col("_label") == 0).cast("int").alias("bad"),
         (F.pmod(F.xxhash64(id_column), F.lit(3)) != 0).alias("grow"),
         *[v.alias(k) for k, v in values.items()],
@@ -210,8 +213,9 @@ def learn_rules(
             here = [sum(n for (f, _, b, g), n in h.items() if f == first and b == bad and g) for bad in (1, 0)]
             if not here[0] or not here[1]:
                 break
-            options = sorted(((_gain(b, g, *here), -g, str(c), c, b, g) for c, b, g in _candidates(h, thresholds, True)), key=lambda x: x[:3])
-            gain, _, _, best, bad, good = options[-1]
+            options = sorted(((_gain(b, g, *here, cost), -g, c.bin if c.above else -c.bin, str(c), c, b, g) for c, b, g in _candidates(h, thresholds, True)), key=lambda x: x[:4])
+            # Of equal conditions the one furthest from the rows that it leaves.
+            gain, _, _, _, best, bad, good = options[-1]
             if gain <= 1e-9 or (bad, good) == tuple(here):
                 break
             held = next((b, g) for c, b, g in _candidates(h, thresholds, False) if c == best)
@@ -225,7 +229,7 @@ def learn_rules(
         if not conditions:
             break
         all_bad = _pruning_bad(left)
-        score = [(b - g) / (b + g) if b + g else -1.0 for b, g in path]
+        score = [(b - cost * g) / (b + cost * g) if b + g else -1.0 for b, g in path]
         best_length = max(range(len(path)), key=lambda i: (score[i], -i))
         bad, good = path[best_length]
         if bad < max(1, min_share * all_bad) or bad / (bad + good) < min_precision:
@@ -263,3 +267,13 @@ def judge(docs: DataFrame, labels: DataFrame, *, workspace: Workspace | None = N
         named = F.when(F.col("rule") == k, F.lit(str(r))).otherwise(named)
     out = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return out.withColumn("rule_text", named).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, workspace: Workspace | None = None, **learning) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns. Texts are read twice and never shuffled."""
+    ws = Workspace.of(docs.sparkSession, workspace)
+    rules = learn_rules(ws.keep(text_statistics(docs)), labels, workspace=ws, **learning)
+    names = [f"_in_{k}" for k in range(len(docs.columns))]
+    packed = docs.select(F.struct(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("_row"), docs["text"].alias("_text"))
+    judged = text_statistics(packed, "_row", "_text").where(~base_failed() & verdict(rules).isNull())
+    return judged.select(*[F.col(f"_row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])

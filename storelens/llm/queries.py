@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, url_rules
+from . import kneser_ney, langid, maxent, mixing, nn_descent, packing, quality_rules, secrets, simhash, url_rules
 from .common import table
 
 #: Where the vocabulary of the packing query lies; only a path, the file is never copied.
@@ -23,14 +23,38 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def score_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def judge_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), url_rules.rules_table(spark))
 
 
+def group_by_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def group_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def apply_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule", "rule_text")
@@ -38,8 +62,14 @@ def apply_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": mix_sources,
+    "op2_score_text": score_text,
     "op3_pack_documents": pack_documents,
+    "op4_scan_secrets": scan_secrets,
+    "op5_identify_language": identify_language,
+    "op6_judge_perplexity": judge_perplexity,
     "op7_filter_urls": filter_urls,
+    "op8_group_by_simhash": group_by_simhash,
+    "op9_group_embeddings": group_embeddings,
     "op10_quality_rules": apply_quality_rules,
 }
 

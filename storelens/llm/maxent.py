@@ -24,7 +24,7 @@ training count is one unknown word of its code.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,15 +42,14 @@ OWN_CODE = CODES // 2
 NODES = 1 + CLASSES
 ROWS = 1 << 17
 HASHED = ROWS - 2 * CODES * NODES
-FEATURES = 3
 HEAD = 1 << 18
 ADD = 0.1
-UPDATES = 3
+UPDATES = 2
 #: Share of a full step of each update, and pseudo-counts that hold a row to the current model.
-STEP, DAMP = 0.5, 3.0
+STEP, DAMP = 0.5, 60.0
 BLOCKS = 64
-#: Tokens per numpy batch, and words a Python worker keeps.
-BATCH, CACHE = 100_000, 400_000
+#: Tokens taken apart at once, words a Python worker keeps, tokens counted together, contexts per numpy step.
+BATCH, CACHE, PORTION, STRIP = 100_000, 400_000, 2_000_000, 8_192
 END = b"\n"  # no word holds white space
 
 
@@ -170,47 +169,115 @@ class Model:
         return one.astype(np.float32), two.astype(np.float32)
 
 
-def _rows(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weight rows (token, feature) of both softmaxes. A text begins after two end tokens."""
-    end = np.int64(CODES)  # shares the rows of code 0, but for the hashed feature
+def _contexts(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code before each token and the one before that. A text begins after two end tokens."""
+    end = np.int64(CODES)
     one = np.concatenate([[end], codes[:-1]])
     one[starts] = end
     two = np.concatenate([[end], one[:-1]])
     two[starts] = end
-    both = (one * 1_000_003 + two) * np.int64(0x9E3779B97F4A7C1) & np.int64(0x7FFFFFFFFFFFFFFF)
-    node = 1 + codes // MEMBERS
+    return one, two
 
-    def at(n: np.ndarray | int) -> np.ndarray:
-        mixed = (both >> 7) ^ (both * 31 + n * np.int64(0x61C8864680B583) & np.int64(0x7FFFFFFFFFFFFFFF)) >> 11
-        return np.stack([one % CODES * NODES + n, CODES * NODES + two % CODES * NODES + n, 2 * CODES * NODES + mixed % HASHED], axis=1)
 
-    return at(0), at(node)
+def _rows(one: np.ndarray, two: np.ndarray, node: np.ndarray | int) -> np.ndarray:
+    """Weight rows (context, feature) of a node: 0 for the classes, 1 + class for its members."""
+    both = one * 1_000_003 + two
+    mixed = (both * np.int64(0x9E3779B97F4A7C1) + node * np.int64(0x61C8864680B583)) & np.int64(0x7FFFFFFFFFFFFFFF)
+    mixed = (mixed ^ mixed >> 29) * np.int64(0x3F58476D1CE4E5B9 >> 4) & np.int64(0x7FFFFFFFFFFFFFFF)
+    return np.stack([one % CODES * NODES + node, CODES * NODES + two % CODES * NODES + node, 2 * CODES * NODES + (mixed >> 20) % HASHED])
+
+
+_ONES = np.ones(MEMBERS, np.float32)
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
+    z = weights.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += weights.take(r, axis=0)
     z += prior
-    z -= z.max(axis=1, keepdims=True)
+    # Weights move by bounded steps from a log prior, so no exponent overflows.
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ _ONES)[:, None]
     return z
 
 
-def forward(model: Model, codes: np.ndarray, starts: np.ndarray):
-    """For both softmaxes: weight rows, probabilities, outcomes."""
-    first, second = _rows(codes, starts)
-    one, two = model.prior
-    cls = codes // MEMBERS
-    return (first, _softmax(model.weights, first, one), cls), (second, _softmax(model.weights, second, two[cls]), codes % MEMBERS)
+def log_probabilities(model: Model, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """log10 of P(class) P(member) of each token."""
+    one, two = _contexts(codes, starts)
+    first, second = model.prior
+    out = np.empty(len(codes))
+    for at in range(0, len(codes), STRIP):
+        part = slice(at, at + STRIP)
+        cls, member, each = codes[part] // MEMBERS, codes[part] % MEMBERS, np.arange(len(codes[part]))
+        p = _softmax(model.weights, _rows(one[part], two[part], 0), first)[each, cls]
+        p = p.astype(np.float64) * _softmax(model.weights, _rows(one[part], two[part], 1 + cls), second[cls])[each, member]
+        out[part] = np.log10(p)
+    return out
 
 
 def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
+    """``into[rows] += values`` for rows of one feature, whose range fits 16 bits."""
+    order = np.argsort((rows - rows.min()).astype(np.uint16), kind="stable")
     ordered = rows[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    into[ordered[first]] += np.add.reduceat(values[order], first, axis=0)
+    into[ordered[first]] += np.add.reduceat(values.take(order, axis=0), first, axis=0)
+
+
+class Gradient:
+    """Observed and expected counts of all weights, under ``model``.
+
+    Texts are gathered as counts of different (two codes before, code) triples, in portions: features
+    depend on nothing else, so a context that repeats is worked out once.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.seen, self.expected = np.zeros(ROWS * MEMBERS, np.float32), np.zeros((ROWS, MEMBERS), np.float32)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, codes: np.ndarray, starts: np.ndarray) -> None:
+        one, two = _contexts(codes, starts)
+        self.held.append((one * (CODES + 1) + two) * CODES + codes)
+        self.size += len(codes)
+        if self.size >= PORTION:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        triple, times = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held, self.size = [], 0
+        times = times.astype(np.float32)
+        code = triple % CODES
+        first, second = self.model.prior
+        self._level(triple // CODES, code // MEMBERS, times, lambda pair: (pair, 0), lambda pair: first)
+        self._level(
+            triple // MEMBERS, code % MEMBERS, times,
+            lambda unit: (unit // CLASSES, 1 + unit % CLASSES), lambda unit: second[unit % CLASSES],
+        )
+
+    def _level(self, unit: np.ndarray, outcome: np.ndarray, times: np.ndarray, parts: Callable, prior: Callable) -> None:
+        """One softmax. ``unit``: its context, in order; ``parts`` gives the pair of codes and the node."""
+
+        def rows_of(u: np.ndarray) -> np.ndarray:
+            pair, node = parts(u)
+            return _rows(pair // (CODES + 1), pair % (CODES + 1), node)
+
+        start = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        context, n = unit[start], np.add.reduceat(times, start)
+        # The triples of each context follow it, so its rows are those of its triples.
+        spread = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(unit))))
+        for at in range(0, len(context), STRIP):
+            own = context[at : at + STRIP]
+            rows = rows_of(own)
+            p = _softmax(self.model.weights, rows, prior(own))
+            p *= n[at : at + STRIP, None]
+            lo, hi = start[at], start[at + STRIP] if at + STRIP < len(start) else len(unit)
+            place = spread[lo:hi] - at
+            for r in rows:
+                _add_rows(self.expected, r, p)
+                np.add.at(self.seen, r[place] * MEMBERS + outcome[lo:hi], times[lo:hi])
 
 
 def _upper_half(x: np.ndarray) -> bytes:
@@ -230,23 +297,18 @@ def update(docs: DataFrame, model: Model, step: float = STEP, damp: float = DAMP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        words = Words(m.own)
-        seen, expected = np.zeros((ROWS, MEMBERS), np.float32), np.zeros((ROWS, MEMBERS), np.float32)
+        words, total = Words(m.own), Gradient(m)
         for batch in batches:
             batch = batch.filter(pa.compute.invert(batch["held"]))
             for lo, hi in text_batches(batch):
                 ids, starts = words.take(batch["text"][lo:hi].to_pylist())
-                codes = words.codes[ids]
-                for rows, p, outcome in forward(m, codes, starts):
-                    for k in range(FEATURES):
-                        _add_rows(expected, rows[:, k], p)
-                        flat = rows[:, k] * MEMBERS + outcome
-                        cell, n = np.unique(flat, return_counts=True)
-                        seen.reshape(-1)[cell] += n
+                total.add(words.codes[ids], starts)
+        total.flush()
+        seen = total.seen.reshape(ROWS, MEMBERS)
         for b in range(BLOCKS):
             part = slice(b * size, (b + 1) * size)
-            if expected[part].any():
-                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([_upper_half(seen[part])], pa.binary()), pa.array([_upper_half(expected[part])], pa.binary())], names=["block", "seen", "expected"])
+            if total.expected[part].any():
+                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([_upper_half(seen[part])], pa.binary()), pa.array([_upper_half(total.expected[part])], pa.binary())], names=["block", "seen", "expected"])
 
     sums = docs.select("text", "held").mapInArrow(run, "block int, seen binary, expected binary").rdd
     sums = sums.map(lambda r: (r[0], np.stack([_from_upper_half(bytes(r[1])), _from_upper_half(bytes(r[2]))]).astype(np.float64)))
@@ -312,9 +374,7 @@ def _score_texts(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi in text_batches(batch):
                 ids, starts = words.take(batch["text"][lo:hi].to_pylist())
                 codes = words.codes[ids]
-                (_, p1, o1), (_, p2, o2) = forward(m, codes, starts)
-                each = np.arange(len(ids))
-                model_part = np.log10(p1[each, o1].astype(np.float64)) + np.log10(p2[each, o2].astype(np.float64)) - code_all[codes]
+                model_part = log_probabilities(m, codes, starts) - code_all[codes]
                 used, back = np.unique(ids, return_inverse=True)
                 h = words.hashes[used]
                 at = np.minimum(np.searchsorted(m.head_hash, h), max(0, len(m.head_hash) - 1))

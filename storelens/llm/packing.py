@@ -5,10 +5,9 @@ sequences of their own. Rests are dealt by hash into groups of a bounded size, a
 packs its own: longest first, each into the open window with the least room that still
 takes it, found by a segment tree indexed by remaining room.
 
-Words repeat, so a task keeps the ids of the pieces between single spaces it has seen, up to a
-fixed number. A single space between two other characters always starts a new pre-token in the
-byte-level vocabularies this is meant for; a text with any other white space next to a space is
-tokenised as a whole.
+Words repeat, so a task keeps the ids of the pieces it has seen, up to a fixed number. Texts are taken apart only
+where a byte-level vocabulary starts a new pre-token in any case: before a blank that a word follows, around line ends,
+and before a last punctuation mark. A text with other white space is tokenised as a whole.
 
 Defined results: a null or empty text is one piece with the end id alone. Equal rows are packed one
 by one. No document leaves no sequence. Other columns are not read.
@@ -17,7 +16,9 @@ by one. No document leaves no sequence. Other columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,66 +33,168 @@ END_ID = 1
 #: Rests a group packs together; bounds a task, and a group leaves about one half-empty window.
 GROUP = 4096
 #: Pieces of text whose ids a Python worker keeps.
-CACHE = 300_000
+CACHE = 500_000
 
-_SPACE_BY_SPACE = re.compile(r" \s|\s ")
+#: White space other than single blanks and line ends: such texts are tokenised as a whole.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_UNEVEN_SPACE = re.compile(r"[^\S \n]|[ \n]{2}")
+_RUNS = re.compile(r"[ \n]+|[^ \n]+")
+#: Last characters that are a pre-token of their own after letters.
+_ENDINGS = frozenset(".,;:!?")
+#: Letters below this are the same in all versions of Unicode in use.
+_SETTLED = "\u0530"
 
 
-class WordIds(dict):
-    """Ids, as little-endian 32-bit bytes, of text between single spaces; ``""`` joins are never made."""
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stay, others follow 255 in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
 
-    def __init__(self, path: str, size: int = CACHE):
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.size = Tokenizer.from_file(path), size
+def _little(ids: array) -> bytes:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
 
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.size:
-            self.clear()
-        self[word] = ids = self.whole(word)
-        return ids
+_BYTE_LETTERS = _byte_letters()
+
 
-    def learn(self, words: set[str]) -> None:
-        """One call for all new words of a batch."""
-        new = list(words.difference(self))
-        if len(self) + len(new) > self.size:
-            self.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
+class PieceIds:
+    """Ids of pieces of text, as little-endian 32-bit bytes, learned as they come.
+
+    ``after`` holds words that follow a blank, whose ids include the blank; ``bare`` all other pieces.
+    """
 
+    def __init__(self, path: str, size: int = CACHE):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-_workers: dict[str, WordIds] = {}
+        self.tokenizer, self.size = Tokenizer.from_file(path), size
+        before = self.tokenizer.pre_tokenizer
+        self.byte_level = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.after: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-def word_ids(path: str) -> WordIds:
+    def _encode(self, words: list[str], blank: str) -> Iterator[tuple[str, bytes]]:
+        """All at once, a line each: a line end between two words is a token of its own."""
+        if not words:
+            return
+        ids = np.asarray(self.tokenizer.encode("\n".join([blank + w for w in words]), add_special_tokens=False).ids, "<u4")
+        ends = [*np.flatnonzero(ids == self.line_end[0]).tolist(), len(ids)]
+        if len(ends) != len(words) or len(self.line_end) != 1:
+            raise ValueError("the vocabulary needs one token for a line end")
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(words, ends, strict=True):
+            yield w, raw[4 * at : 4 * end]
+            at = end + 1
+
+    def _merge(self, words: list[str], blank: str) -> Iterator[tuple[str, bytes]]:
+        """Words that are one pre-token each, by the merges alone."""
+        tokenize = self.tokenizer.model.tokenize
+        for w in words:
+            tokens = tokenize((blank + w).encode().decode("latin-1").translate(_BYTE_LETTERS))
+            yield w, _little(array("I", [t.id for t in tokens]))
+
+    def full(self) -> bool:
+        return len(self.after) + len(self.bare) > self.size
+
+    def clear(self) -> None:
+        self.after.clear()
+        self.bare.clear()
+
+    def learn(self, after: set[str], bare: set[str]) -> None:
+        for known, wanted, blank in ((self.after, after, " "), (self.bare, bare, "")):
+            letters, mixed, ended = set(), [], []
+            for w in wanted.difference(known):
+                stem = w[:-1] if w[-1:] in _ENDINGS else w
+                if not stem.isalpha() or not (stem.isascii() or max(stem) < _SETTLED):
+                    mixed.append(w)
+                else:
+                    if stem not in known:
+                        letters.add(stem)
+                    if stem is not w:
+                        ended.append(w)
+            plain = [w for w in mixed if w and not w.isspace()]
+            known.update((w, self.whole(w)) for w in mixed if not w or w.isspace())
+            if self.byte_level:
+                known.update(self._merge(list(letters), blank))
+            else:
+                plain += letters
+            for at in range(0, len(plain), 20_000):
+                known.update(self._encode(plain[at : at + 20_000], blank))
+            for w in ended:
+                if w[-1] not in self.bare:
+                    self.bare[w[-1]] = self.whole(w[-1])
+                known[w] = known[w[:-1]] + self.bare[w[-1]]
+
+
+_workers: dict[str, PieceIds] = {}
+
+
+def piece_ids(path: str) -> PieceIds:
     """One per Python worker."""
     if path not in _workers:
-        _workers[path] = WordIds(path)
+        _workers[path] = PieceIds(path)
     return _workers[path]
 
 
+def _split(text: str) -> list[tuple[bool, list[str]]] | None:
+    """The text as (do these follow a blank, pieces); null if it must be tokenised as a whole."""
+    if "<|" in text:
+        return None
+    uneven = _UNEVEN_SPACE.search(text)
+    if uneven and _OTHER_SPACE.search(text, uneven.start()):
+        return None
+    if not uneven and text[:1] not in ("", " ", "\n") and text[-1] not in " \n":
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            first, *rest = line.split(" ")
+            out.append((False, ["\n", first] if k else [first]))
+            out.append((True, rest))
+        return out
+    out, blank = [], False
+    for m in _RUNS.finditer(text):
+        run = m.group()
+        if run[0] not in " \n":
+            out.append((blank, [run]))
+            blank = False
+        elif m.end() == len(text):
+            out.append((False, [run]))
+        else:
+            # The last blank before a word belongs to the word; what is before it is one pre-token.
+            blank = run[-1] == " "
+            out.append((False, [x for x in (run[:-1], "" if blank else "\n") if x]))
+    return out
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    ids = word_ids(path)
-    split: list[list[str] | None] = []
-    seen: set[str] = set()
-    for t in texts:
-        # A first or last space has no character on one side.
-        if t.startswith(" ") or t.endswith(" ") or _SPACE_BY_SPACE.search(t) or "<|" in t:
-            split.append(None)
-            continue
-        first, *rest = t.split(" ")
-        parts = [first, *[" " + x for x in rest]] if t else []
-        seen.update(parts)
-        split.append(parts)
-    ids.learn(seen)
-    return [ids.whole(t) if p is None else b"".join(map(ids.__getitem__, p)) for t, p in zip(texts, split, strict=True)]
+    """Looks every piece up once; what is unknown is learned together, and put in its place."""
+    ids = piece_ids(path)
+    if ids.full():
+        ids.clear()
+    out: list[list[bytes]] = []
+    gaps: dict[bool, list[tuple[int, int, str]]] = {True: [], False: []}
+    for k, t in enumerate(texts):
+        parts = _split(t)
+        found: list[bytes] = []
+        for blank, pieces in parts if parts is not None else ():
+            here = list(map((ids.after if blank else ids.bare).get, pieces))
+            if None in here:
+                at = len(found)
+                gaps[blank] += [(k, at + i, pieces[i]) for i, x in enumerate(here) if x is None]
+            found += here
+        out.append(found if parts is not None else [ids.whole(t)])
+    ids.learn({p for _, _, p in gaps[True]}, {p for _, _, p in gaps[False]})
+    for blank, known in ((True, ids.after), (False, ids.bare)):
+        for k, at, p in gaps[blank]:
+            out[k][at] = known[p]
+    return [b"".join(x) for x in out]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

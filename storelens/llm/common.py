@@ -36,6 +36,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def pack(docs: DataFrame, *apart: str) -> DataFrame:
+    """``apart`` as columns, and all other columns in a struct ``_row``: their names can't clash with an operator's own."""
+    others = [c for c in docs.columns if c not in apart]
+    row = F.struct(F.lit(0).alias("_"), *[docs[c].alias(f"_{k}") for k, c in enumerate(others)])
+    return docs.select(*[docs[c] for c in apart], row.alias("_row"))
+
+
+def unpack(rows: DataFrame, columns: list[str], *apart: str) -> DataFrame:
+    """The columns of the table that ``pack`` took, in their order."""
+    others = [c for c in columns if c not in apart]
+    place = {c: F.col(f"_row._{k}") for k, c in enumerate(others)} | {c: F.col(c) for c in apart}
+    return rows.select(*[place[c].alias(c) for c in columns])
+
+
 class Workspace:
     """A folder of stored tables under ``spark.checkpoint.dir``, and their owner.
 

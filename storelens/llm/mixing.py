@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, n_words
+from .common import NOT_SPACE, SPACE, n_words, pack, unpack
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -105,7 +105,7 @@ def plan(
     def copy(k: Column) -> Column:
         offset = k * F.col("source_size") + F.col("_before")
         taken = F.greatest(F.lit(0), F.least(F.col("size"), wanted - offset))
-        share = (offset + taken / 2) / F.col("target")
+        share = F.coalesce(F.try_divide(offset + taken / 2, F.col("target")), F.lit(0.0))
         when = F.lit(None).cast("double")
         for weight, schedule in schedules.items():
             when = F.when(F.col("weight") == weight, moment(schedule, share)).otherwise(when)
@@ -121,21 +121,20 @@ def plan(
     )
 
 
-def curriculum(docs: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
+def curriculum(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves, a row per copy, range-sorted by training position.
 
-    Columns are those of ``docs`` (or ``columns``). The one copy of a source that its target cuts
+    Columns are those of ``docs``. The one copy of a source that its target cuts
     short holds the words up to the cut; ``n_chars``, if there, follows.
     """
-    columns = list(columns or docs.columns)
-    planned = plan(docs, payload=[*columns, "text"], **options)
+    apart = ["doc_id", "source", "text", *["n_chars"] * ("n_chars" in docs.columns)]
+    planned = plan(pack(docs, *apart), payload=["_row", *apart], **options)
     c = planned.select("*", F.explode("copies").alias("_copy"))
     cut = F.col("_copy.words") < F.col("size")
     # Each part ends where a word ends, so the first k parts hold the first k words.
     parts = F.split("text", f"(?<={NOT_SPACE})(?={SPACE})")
     head = F.array_join(F.slice(parts, F.lit(1), F.col("_copy.words").cast("int")), "")
     c = c.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         c = c.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    c = c.withColumn("_position", F.col("_copy.position")).withColumn("_pass", F.col("_copy.pass"))
-    return c.orderBy("_position", "_pass", "doc_id").select(*columns)
+    return unpack(c.orderBy("_copy.position", "_copy.pass", "doc_id"), docs.columns, *apart)

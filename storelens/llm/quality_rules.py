@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, Workspace, let, words
+from .common import NOT_SPACE, SPACE, Workspace, let, pack, unpack, words
 
 # The base checks.
 SYMBOLS = r"[#*$%&|<>]"
@@ -273,7 +273,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, workspace: Workspace | None
     """The rows of ``docs`` that stay, all columns. Texts are read twice and never shuffled."""
     ws = Workspace.of(docs.sparkSession, workspace)
     rules = learn_rules(ws.keep(text_statistics(docs)), labels, workspace=ws, **learning)
-    names = [f"_in_{k}" for k in range(len(docs.columns))]
-    packed = docs.select(F.struct(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("_row"), docs["text"].alias("_text"))
-    judged = text_statistics(packed, "_row", "_text").where(~base_failed() & verdict(rules).isNull())
-    return judged.select(*[F.col(f"_row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    packed = pack(docs, "text")
+    judged = text_statistics(packed.withColumn("_row", F.struct("_row", "text")), "_row").where(~base_failed() & verdict(rules).isNull())
+    return unpack(judged.select("_row._row", "_row.text"), docs.columns, "text")

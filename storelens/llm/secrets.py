@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, pack, unpack
 
 
 @dataclass(frozen=True)
@@ -175,13 +175,14 @@ def redact(docs: DataFrame, rules: Sequence[SecretRule] = RULES, mark: str = "[S
     found = found.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     islands = found.groupBy("blob", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     islands = islands.groupBy(F.col("blob").alias("_blob")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_islands"))
-    d = docs.withColumn("_b", blob_of(F.col("text"))).join(islands, F.col("_b") == F.col("_blob"), "left")
+    apart = ["text", *["n_chars"] * ("n_chars" in docs.columns)]
+    d = pack(docs, *apart).withColumn("_b", blob_of(F.col("text"))).join(islands, F.col("_b") == F.col("_blob"), "left")
     n = F.size("_islands")
     begin = lambda i: F.coalesce(F.get("_islands", i - 1)["end"], F.lit(0))
     stop = lambda i: F.coalesce(F.get("_islands", i)["start"], F.length("text").cast("long"))
     parts = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring("text", (begin(i) + 1).cast("int"), (stop(i) - begin(i)).cast("int")))
-    clean = F.when(F.col("_islands").isNotNull(), F.array_join(parts, mark)).otherwise(F.col("text"))
-    d = d.withColumn("_clean", clean)
+    changed = F.col("_islands").isNotNull()
+    d = d.withColumn("text", F.when(changed, F.array_join(parts, mark)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_islands").isNotNull(), F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.withColumn("text", F.col("_clean")).select(*docs.columns)
+        d = d.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return unpack(d, docs.columns, *apart)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace
+from .common import Workspace, pack, unpack
 from .components import components
 
 SHINGLE = 4
@@ -241,13 +241,10 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED, *, workspace: Workspace | None = None) -> DataFrame:
     """One row of ``docs`` for each group, with all columns: that of the least doc_id."""
     ws = Workspace.of(docs.sparkSession, workspace)
-    others = [c for c in docs.columns if c != "text"]
-    # Own names, since a column may be called like one of ours.
-    packed = docs.select(F.struct(F.lit(0).alias("_"), *[docs[c].alias(f"_{k}") for k, c in enumerate(others)]).alias("_row"), docs["doc_id"].alias("_id"), docs["text"].alias("text"))
+    packed = pack(docs, "doc_id", "text").withColumnRenamed("doc_id", "_id")
     marked = ws.keep(_add_fingerprint(packed, shingle, seed, True).withColumn("_number", F.monotonically_increasing_id()))
     best = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_number"))).alias("best")
     distinct = ws.keep(marked.groupBy("fp").agg(best))
     stays = _roots(distinct, max_bits, ws).join(distinct, "fp").groupBy("root").agg(F.min("best").alias("best"))
     chosen = marked.join(stays.select(F.col("best._number").alias("_number")), "_number", "left_semi")
-    place = {c: F.col(f"_row._{k}") for k, c in enumerate(others)} | {"text": F.col("text")}
-    return chosen.select(*[place[c].alias(c) for c in docs.columns])
+    return unpack(chosen.withColumnRenamed("_id", "doc_id"), docs.columns, "doc_id", "text")

@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 from storelens.functions.exprs import PLACES
 
 INPUTS = ("recency_days", "frequency", "monetary")
+# Fixed value: far above what the fits need, which stop when centres hardly move.
+MAX_ITER = 300
 
 
-def kmeans_segments(rfm: DataFrame, k: int = 4, seeds: Sequence[int] = tuple(range(42, 52))) -> DataFrame:
+def kmeans_segments(rfm: DataFrame, k: int = 4, seeds: Sequence[int] = tuple(range(42, 52)), max_iter: int = MAX_ITER) -> DataFrame:
     """``rfm`` with its ``cluster``; of several seeded fits the tightest one is kept."""
     assembled = VectorAssembler(inputCols=list(INPUTS), outputCol="raw").transform(rfm)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     points = scaler.fit(assembled).transform(assembled).drop("raw").persist(StorageLevel.MEMORY_AND_DISK)
-    fits = [KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(points) for seed in seeds]
+    fits = [KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(points) for seed in seeds]
     best = min(fits, key=lambda model: model.summary.trainingCost)
+    if best.summary.numIter >= max_iter:
+        raise RuntimeError(f"no convergence within {max_iter} iterations")
     points.unpersist()
     return best.transform(points).drop("features")
 
@@ -52,6 +56,7 @@ def name_clusters(summary: DataFrame) -> DataFrame:
     tail = ((F.col("_value") == 1) | (F.col("_often") == 1)).cast("int")
     ranked = ranked.withColumn("_old", F.row_number().over(Window.orderBy(tail, F.desc("avg_recency"), "cluster")))
     segment = (
+        # The names of segments.
         F.when(F.col("_value") == 1, "High value buyers")
         .when(F.col("_often") == 1, "Repeat buyers")
         .when((F.col("_clusters") == 4) & (F.col("_old") == 1), "Dormant one-time buyers")
@@ -78,4 +83,4 @@ def cluster_profile(clustered: DataFrame) -> DataFrame:
 
 def sample_n(df: DataFrame, key: str, n: int = 5000, seed: int = 42) -> DataFrame:
     """A repeatable random sample of at most ``n`` rows."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)

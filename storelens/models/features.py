@@ -14,7 +14,10 @@ from storelens.operators.mart import top_groups
 from storelens.session import materialize
 
 LABEL = "is_low_review"
+#: Levels of an encoded column; each becomes a feature.
+MAX_LEVELS = 200
 CATEGORY = "product_category_name_english"
+# The numeric features of the two versions.
 NUMERIC_V1 = (
     "total_price",
     "total_freight",
@@ -66,21 +69,12 @@ def grouped_category(top: Sequence[str], other: str = "other") -> Column:
     return F.when(F.col(CATEGORY).isin(list(top)), F.col(CATEGORY)).otherwise(other)
 
 
-def levels(df: DataFrame, column: Column) -> list[str]:
-    """Distinct values of a low-cardinality column in alphabetical order."""
-    return [r[0] for r in df.select(column.alias("level")).dropna().distinct().orderBy("level").collect()]
-
-
-def indicator_names(column: str, values: Sequence[str]) -> dict[str, str]:
-    """Indicator name per value; the first value has none and is the reference level."""
-    return {value: f"{column}_{value}".replace(".", "_").replace("`", "_") for value in values[1:]}
-
-
-def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """0/1 columns for all values but the first; an unseen or missing value has only zeros."""
-    names = indicator_names(column, values)
-    hit = {name: F.when(F.col(column) == value, 1).otherwise(0) for value, name in names.items()}
-    return df.withColumns(hit) if hit else df
+def levels(df: DataFrame, column: Column, most: int = MAX_LEVELS) -> list[str]:
+    """Distinct values of a column in alphabetical order; more than ``most`` are an error, since the driver sees them."""
+    found = df.select(column.alias("level")).dropna().distinct().orderBy("level").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} levels; group the rare ones first")
+    return [r[0] for r in found]
 
 
 def stratified_split(

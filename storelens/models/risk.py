@@ -15,14 +15,13 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.exprs import PLACES, pct, ratio, rows_where
+from storelens.functions.exprs import PLACES, ratio, rows_where
 from storelens.models.features import (
     CATEGORY,
     LABEL,
     NUMERIC_V1,
     NUMERIC_V2,
     grouped_category,
-    indicator_names,
     levels,
     top_categories,
     with_weights,
@@ -30,9 +29,10 @@ from storelens.models.features import (
 
 # Depth 30 is Spark's limit and stands for "no limit".
 UNLIMITED_DEPTH = 30
-# The tuning grid, and the settings chosen from it.
+# The tuning grid.
 FULL_GRID = {"numTrees": (200, 400), "maxDepth": (UNLIMITED_DEPTH, 10, 20), "minInstancesPerNode": (1, 5)}
-TUNED = {"numTrees": 400, "maxDepth": 10, "minInstancesPerNode": 5}
+# Fixed value: the default penalty of the logistic regressions.
+L2_STRENGTH = 1.0
 SEED = 42
 
 
@@ -41,6 +41,15 @@ def _quoted(text: str) -> str:
     return f"'{escaped}'"
 
 
+@dataclass(frozen=True)
+class Indicator:
+    """A 0/1 column: its name, the level it stands for, and its SQL condition."""
+
+    name: str
+    label: str
+    test: str
+
+
 @dataclass(frozen=True)
 class Encoding:
     """Category levels learnt on the training rows."""
@@ -58,20 +67,21 @@ class Encoding:
             tuple(levels(train, F.col("payment_type"))),
         )
 
-    def indicators(self) -> dict[str, str]:
-        """SQL condition per indicator column."""
+    def indicators(self) -> list[Indicator]:
+        """One per level but the first of each column; names are numbered, so no two levels share one."""
         known = ", ".join(_quoted(c) for c in self.top)
         group = f"CASE WHEN {CATEGORY} IN ({known}) THEN {CATEGORY} ELSE 'other' END" if known else "'other'"
-        out = {
-            name: f"({group}) = {_quoted(value)}"
-            for value, name in indicator_names("category_grouped", self.categories).items()
-        }
-        for value, name in indicator_names("payment_type", self.payments).items():
-            out[name] = f"payment_type = {_quoted(value)}"
-        return out
+        return [
+            Indicator(f"{column}_{number}", f"{column}_{value}", f"({source}) = {_quoted(value)}")
+            for column, source, values in (
+                ("category_grouped", group, self.categories),
+                ("payment_type", "payment_type", self.payments),
+            )
+            for number, value in enumerate(values[1:], 1)
+        ]
 
     def stage(self) -> SQLTransformer:
-        columns = [f"CASE WHEN {test} THEN 1 ELSE 0 END AS `{name}`" for name, test in self.indicators().items()]
+        columns = [f"CASE WHEN {i.test} THEN 1 ELSE 0 END AS `{i.name}`" for i in self.indicators()]
         return SQLTransformer(statement=f"SELECT {', '.join(['*', *columns])} FROM __THIS__")
 
 
@@ -84,20 +94,27 @@ def _encoded(encoding: Encoding, scaled: bool) -> list:
     stages = [encoding.stage(), numeric]
     if scaled:
         stages.append(StandardScaler(inputCol="numeric", outputCol="scaled", withMean=True, withStd=True))
-    indicators = list(encoding.indicators())
+    indicators = [i.name for i in encoding.indicators()]
     source = "scaled" if scaled else "numeric"
     stages.append(VectorAssembler(inputCols=[source, *indicators], outputCol="features"))
     return stages
 
 
 def feature_names(encoding: Encoding) -> list[str]:
-    return [*NUMERIC_V2, *encoding.indicators()]
+    return [*NUMERIC_V2, *[i.label for i in encoding.indicators()]]
+
 
+def fit_lr(
+    train: DataFrame, encoding: Encoding | None = None, balanced: bool = False, strength: float = L2_STRENGTH
+) -> PipelineModel:
+    """Logistic regression: raw numeric features, or scaled and encoded ones with ``encoding``.
 
-def fit_lr(train: DataFrame, encoding: Encoding | None = None, balanced: bool = False, reg: float = 0.0) -> PipelineModel:
-    """Logistic regression: raw numeric features, or scaled and encoded ones with ``encoding``."""
+    ``strength`` weighs the squared coefficients against the sum of losses over all rows; Spark weighs
+    them against the mean. Coefficients are penalised as they are, not in standard units.
+    """
     stages = _encoded(encoding, scaled=True) if encoding else _numeric_only()
-    lr = LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=1000, regParam=reg)
+    reg = strength / max(1, train.count())
+    lr = LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=1000, regParam=reg, standardization=False)
     if balanced:
         lr = lr.setWeightCol("weight")
         train = with_weights(train)
@@ -105,8 +122,9 @@ def fit_lr(train: DataFrame, encoding: Encoding | None = None, balanced: bool =
 
 
 def _forest(params: Mapping[str, int]) -> RandomForestClassifier:
+    # More memory for statistics means fewer passes over the rows for the many nodes of deep trees.
     return RandomForestClassifier(
-        featuresCol="features", labelCol=LABEL, weightCol="weight", seed=SEED, **params
+        featuresCol="features", labelCol=LABEL, weightCol="weight", seed=SEED, maxMemoryInMB=1024, **params
     )
 
 
@@ -130,7 +148,7 @@ def tune_rf(
     encoding: Encoding,
     grid: Mapping[str, Sequence[int]] = FULL_GRID,
     folds: int = 3,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> Tuned:
     """Grid search by cross-validated recall of the low-review class.
 
@@ -253,12 +271,6 @@ def score_orders(model: PipelineModel, df: DataFrame, threshold: float = 0.5) ->
     )
 
 
-def risk_summary(scored: DataFrame) -> DataFrame:
-    return scored.agg(
-        F.count(F.lit(1)).alias("orders"), pct(F.sum("at_risk"), F.count(F.lit(1))).alias("at_risk_pct")
-    )
-
-
 def save_model(model: PipelineModel, path: str) -> None:
     """Encoding, scaler, assembler and classifier in one artifact."""
     model.write().overwrite().save(path)

@@ -23,8 +23,8 @@ from storelens.operators.stats import describe, histogram
 
 PERSON = "customer_unique_id"
 
-# Frequency bins and their scores.
-FREQUENCY_EDGES = (0, 1, 2, 100)
+# Frequency bins and their scores; the last bin is open.
+FREQUENCY_EDGES = (0, 1, 2, float("inf"))
 FREQUENCY_SCORES = (1, 3, 5)
 
 

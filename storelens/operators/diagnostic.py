@@ -49,6 +49,14 @@ def late_review_welch(mart: DataFrame) -> DataFrame:
     return welch_ttest(_reviewed_deliveries(mart), "review_score", "is_late")
 
 
+@uses("order_dow_num", "review_score")
+def weekend_review_welch(mart: DataFrame) -> DataFrame:
+    """Review scores of orders bought at the weekend against those of other days."""
+    scored = mart.filter(F.col("review_score").isNotNull())
+    weekend = scored.withColumn("is_weekend", (F.col("order_dow_num") >= 5).cast("int"))
+    return welch_ttest(weekend, "review_score", "is_weekend")
+
+
 @uses("is_late", "review_score", "is_low_review")
 def late_share_of_low(mart: DataFrame) -> DataFrame:
     """Late orders among reviewed deliveries, and among all low reviews."""

@@ -148,6 +148,21 @@ def order_ratio_columns() -> dict[str, Column]:
     }
 
 
+def _with_category(mart: DataFrame, t: Tables) -> DataFrame:
+    """The category of each order's first product.
+
+    Orders without items have a key of their own each, so they do not meet in one task. An order
+    with items has a category even when its product is not listed.
+    """
+    key = lambda product, other: F.coalesce(F.concat(F.lit("p"), product.cast("string")), other)
+    listed = _categories(t).select(key(F.col("product_id"), F.lit(None)).alias("_key"), "product_category_name_english")
+    label = F.coalesce("product_category_name_english", F.lit(DEFAULT_CATEGORY))
+    keyed = mart.withColumn("_key", key(F.col("product_id"), F.concat(F.lit("o"), F.col("order_id").cast("string"))))
+    return keyed.join(listed, "_key", "left").withColumn(
+        "product_category_name_english", F.when(F.col("product_id").isNotNull(), label)
+    )
+
+
 def order_mart(
     t: Tables,
     cutoff: str | None = None,
@@ -165,10 +180,8 @@ def order_mart(
     def needs(group: Iterable[str]) -> bool:
         return not need.isdisjoint(group)
 
+    # All joins on the order come first and share one partitioning; products and customers follow.
     mart = before_cutoff(t["orders"].select(*ORDER_COLUMNS), cutoff)
-    if needs(CUSTOMER_COLUMNS):
-        mart = mart.join(t["customers"].select("customer_id", *CUSTOMER_COLUMNS), "customer_id", "left")
-
     if needs(ITEM_COLUMNS) or needs(CATEGORY_COLUMNS):
         aggregates = [
             F.sum("price").alias("total_price"),
@@ -177,14 +190,7 @@ def order_mart(
         ]
         if needs(CATEGORY_COLUMNS):
             aggregates.append(_first_item(["product_id"])["product_id"].alias("product_id"))
-        items = t["order_items"].groupBy("order_id").agg(*aggregates)
-        if needs(CATEGORY_COLUMNS):
-            # An order with items has a category even when its product is not listed.
-            label = F.coalesce("product_category_name_english", F.lit(DEFAULT_CATEGORY))
-            items = items.join(_categories(t), "product_id", "left").withColumn(
-                "product_category_name_english", F.when(F.col("product_id").isNotNull(), label)
-            )
-        mart = mart.join(items, "order_id", "left")
+        mart = mart.join(t["order_items"].groupBy("order_id").agg(*aggregates), "order_id", "left")
         mart = mart.withColumn("order_revenue", F.col("total_price") + F.col("total_freight"))
         mart = mart.withColumns(order_ratio_columns())
 
@@ -203,6 +209,11 @@ def order_mart(
         low = F.when(F.col("review_score").isNotNull(), (F.col("review_score") <= 2).cast("int"))
         mart = mart.withColumn("is_low_review", low)
 
+    if needs(CATEGORY_COLUMNS):
+        mart = _with_category(mart, t)
+    if needs(CUSTOMER_COLUMNS):
+        mart = mart.join(t["customers"].select("customer_id", *CUSTOMER_COLUMNS), "customer_id", "left")
+
     delivered = F.col("order_delivered_customer_date")
     estimated = F.col("order_estimated_delivery_date")
     bought = F.col("order_purchase_timestamp")
@@ -243,10 +254,10 @@ def orders_enriched(t: Tables) -> DataFrame:
     estimated = F.col("order_estimated_delivery_date")
     return (
         t["orders"]
-        .join(t["customers"].select("customer_id", *CUSTOMER_COLUMNS), "customer_id", "left")
         .join(items, "order_id", "left")
         .join(review_agg(t["reviews"]), "order_id", "left")
         .join(payment_types(t["payments"]), "order_id", "left")
+        .join(t["customers"].select("customer_id", *CUSTOMER_COLUMNS), "customer_id", "left")
         .select(
             "order_id",
             "customer_id",

@@ -13,17 +13,12 @@ from storelens.models import clusters, risk
 from storelens.models import features as feats
 from storelens.operators import audit, customers, descriptive, diagnostic, kpi, mart
 from storelens.plans import views
-from storelens.session import configure, materialize
+from storelens.session import configure, materialize, store_of
 from storelens.sources.files import Tables, append_rows
 from storelens.sources.star import STAR_CUTOFF, STAR_TRANSLATION_FIXES, commerce_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Smaller than risk.FULL_GRID and than an unlimited depth, one fit of which takes minutes on eight cores.
-REGISTRY_GRID = {"numTrees": (20, 40), "maxDepth": (5, 10), "minInstancesPerNode": (1, 5)}
-REGISTRY_FOREST = {"numTrees": 200, "maxDepth": 10}
-
-
 def plain_types(df: DataFrame) -> DataFrame:
     """Report types: decimals as double, all integers as bigint."""
     casts = {}
@@ -81,26 +76,36 @@ def _feature_rows(t: Tables, version: int = 2) -> DataFrame:
     return feats.features(_mart_for(feats.features, t), version)
 
 
-def _split(t: Tables) -> tuple[DataFrame, DataFrame]:
-    split = materialize(feats.stratified_split(_feature_rows(t)))
-    return split.filter("is_train = 1"), split.filter("is_train = 0")
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows, stored once per store."""
+
+    def build() -> tuple[DataFrame, DataFrame]:
+        split = materialize(feats.stratified_split(_feature_rows(tables(spark, sf_dir))))
+        return split.filter("is_train = 1"), split.filter("is_train = 0")
+
+    return store_of(spark).cached(("split", sf_dir), build)
+
+
+def _tuned(spark: SparkSession, sf_dir: str) -> tuple[risk.Tuned, risk.Encoding]:
+    """The full grid search; run once for the queries that share it."""
 
+    def build() -> tuple[risk.Tuned, risk.Encoding]:
+        train, _ = _split(spark, sf_dir)
+        encoding = risk.Encoding.learn(train)
+        return risk.tune_rf(train, encoding), encoding
 
-@lru_cache(maxsize=4)
-def _tuned(spark: SparkSession, sf_dir: str) -> tuple:
-    """The forest with the chosen settings; fitted once for the queries that share it."""
-    train, test = _split(tables(spark, sf_dir))
-    encoding = risk.Encoding.learn(train)
-    return risk.fit_rf(train, encoding, risk.TUNED), encoding, train, test
+    return store_of(spark).cached(("tuned", sf_dir), build)
 
 
 def _model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tuned, encoding, train, test = _tuned(spark, sf_dir)
+    train, test = _split(spark, sf_dir)
+    tuned, encoding = _tuned(spark, sf_dir)
     fitted = {
+        # The names of the compared models.
         "Logistic Regression (baseline)": risk.fit_lr(train),
         "Logistic Regression (balanced)": risk.fit_lr(train, encoding, balanced=True),
-        "Random Forest (baseline)": risk.fit_rf(train, encoding, REGISTRY_FOREST),
-        "Random Forest (tuned)": tuned,
+        "Random Forest (baseline)": risk.fit_rf(train, encoding),
+        "Random Forest (tuned)": tuned.model,
     }
     rows = [
         risk.evaluate(risk.with_probability(model, test), name, score="probability_low")
@@ -109,34 +114,30 @@ def _model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.compare(rows)
 
 
-def _model_tuning(t: Tables) -> DataFrame:
-    train, _ = _split(t)
-    return risk.tune_rf(train, risk.Encoding.learn(train), REGISTRY_GRID).scores
+def _model_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tuned(spark, sf_dir)[0].scores
 
 
 def _feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, encoding, _, _ = _tuned(spark, sf_dir)
-    return risk.importances(model, risk.feature_names(encoding), spark)
+    tuned, encoding = _tuned(spark, sf_dir)
+    return risk.importances(tuned.model, risk.feature_names(encoding), spark)
 
 
 def _order_risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders with complete features are scored, reviewed or not."""
     t = tables(spark, sf_dir)
     every = feats.features(_mart_for(feats.features, t), unreviewed="negative")
-    return plain_types(risk.score_orders(_tuned(spark, sf_dir)[0], every))
+    return plain_types(risk.score_orders(_tuned(spark, sf_dir)[0].model, every))
 
 
 def _one_hot_features(t: Tables) -> DataFrame:
-    """Names of the indicators set on each order, in alphabetical order."""
+    """Labels of the indicators set on each order, in alphabetical order, from the encoder that trains."""
     rows = _feature_rows(t)
-    grouped = mart.group_tail(rows, feats.CATEGORY, 10)
-    encoded, names = grouped, []
-    for column in ("category_grouped", "payment_type"):
-        values = feats.levels(grouped, F.col(column))
-        encoded = feats.one_hot(encoded, column, values)
-        names += feats.indicator_names(column, values).values()
-    active = F.filter(F.array(*[F.when(F.col(f"`{n}`") == 1, n) for n in sorted(names)]), lambda n: n.isNotNull())
-    return encoded.select("order_id", F.array_join(active, ",").alias("active_features"))
+    encoding = risk.Encoding.learn(rows)
+    encoded = encoding.stage().transform(rows)
+    named = sorted((i.label, i.name) for i in encoding.indicators())
+    active = F.array(*[F.when(F.col(name) == 1, label) for label, name in named])
+    return encoded.select("order_id", F.array_join(F.array_compact(active), ",").alias("active_features"))
 
 
 def _late_rule(t: Tables) -> DataFrame:
@@ -179,9 +180,46 @@ def _parity(t: Tables) -> DataFrame:
     return counts.unionByName(paid.select(F.lit("order_primary_payment").alias("subject"), "row_count"))
 
 
-def _kmeans_rows(rfm: DataFrame) -> DataFrame:
-    named = clusters.named_segments(clusters.kmeans_segments(rfm))
-    return named.drop("cluster", "revenue")
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their cluster; fitted once for the queries that share it."""
+
+    def build() -> DataFrame:
+        return materialize(clusters.kmeans_segments(materialize(_rfm(tables(spark, sf_dir)))))
+
+    return store_of(spark).cached(("clusters", sf_dir), build)
+
+
+def _kmeans_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_types(clusters.named_segments(_clustered(spark, sf_dir)).drop("cluster", "revenue"))
+
+
+def _kmeans_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_types(clusters.cluster_profile(_clustered(spark, sf_dir)))
+
+
+def _rule_clusters(rfm: DataFrame) -> DataFrame:
+    """A fixed clustering by rule, in place of a fitted one: how clusters are named can be checked on it."""
+    value = F.col("monetary").cast("double")
+    cluster = F.when(value > 200_000, 0).when(F.col("frequency") > 1, 1).when(F.col("recency_days") > 1000, 2).otherwise(3)
+    return rfm.withColumn("cluster", cluster)
+
+
+def _sample(rfm: DataFrame) -> DataFrame:
+    """5,000 customers with their segment."""
+    return clusters.sample_n(_segments(rfm), customers.PERSON, 5000).drop("revenue")
+
+
+def _fold_counts(t: Tables) -> DataFrame:
+    split = feats.stratified_split(_feature_rows(t))
+    return split.groupBy(feats.LABEL, "fold").agg(F.count(F.lit(1)).alias("orders"))
+
+
+def _rule_choice(t: Tables) -> DataFrame:
+    """Two fixed rules as models, and the better one by F1."""
+    rules = mart.order_mart(t, STAR_CUTOFF, ("is_late", "is_low_review", "delivery_delay_days")).dropna()
+    rules = rules.withColumn("very_late", (F.col("delivery_delay_days") > 5).cast("int"))
+    rows = [risk.evaluate(rules, "late", prediction="is_late"), risk.evaluate(rules, "very late", prediction="very_late")]
+    return risk.choose(risk.compare(rows), ("f1",)).drop("roc_auc")
 
 
 QUERIES: dict[str, Query] = {
@@ -261,6 +299,7 @@ QUERIES: dict[str, Query] = {
     # diagnostic
     "late_vs_review": _on_mart(diagnostic.late_vs_review),
     "late_review_welch": _on_mart(diagnostic.late_review_welch),
+    "weekend_review_welch": _on_mart(diagnostic.weekend_review_welch),
     "late_share_of_low": _on_mart(diagnostic.late_share_of_low),
     "monthly_late_review": _on_mart(diagnostic.monthly_late_review),
     "monthly_late_corr": _on_mart(diagnostic.monthly_late_corr),
@@ -278,9 +317,7 @@ QUERIES: dict[str, Query] = {
     "order_corr_matrix": _on_mart(diagnostic.order_corr_matrix),
     # customers
     "rfm_base": _on_rfm(lambda rfm: rfm.drop("revenue"), stored=False),
-    "rfm_sample": _on_rfm(
-        lambda rfm: clusters.sample_n(rfm.drop("revenue"), customers.PERSON, 5000), stored=False
-    ),
+    "rfm_sample": _on_rfm(_sample),
     "rfm_ntile": _on_rfm(lambda rfm: customers.rfm_ntile(rfm).drop("revenue"), stored=False),
     "rfm_quantile": _on_rfm(lambda rfm: customers.rfm_quantile(rfm).drop("revenue")),
     "rfm_segments": _on_rfm(lambda rfm: _segments(rfm).drop("revenue")),
@@ -305,8 +342,9 @@ QUERIES: dict[str, Query] = {
     "seasonality_5mo": _on_mart(customers.seasonality),
     "seasonality_spike": _on_mart(customers.spike_check),
     "voucher_repeat_rate": _on_mart(customers.voucher_effect),
-    "rfm_kmeans": _on_rfm(_kmeans_rows),
-    "rfm_kmeans_profile": _on_rfm(lambda rfm: clusters.cluster_profile(clusters.kmeans_segments(rfm))),
+    "rfm_kmeans": _kmeans_rows,
+    "rfm_kmeans_profile": _kmeans_profile,
+    "rule_cluster_profile": _on_rfm(lambda rfm: clusters.cluster_profile(_rule_clusters(rfm))),
     # model
     "class_balance": _on_mart(feats.class_balance),
     "class_balance_unreviewed_negative": _on_mart(feats.class_balance, unreviewed="negative"),
@@ -314,11 +352,13 @@ QUERIES: dict[str, Query] = {
     "model_features_v1": _on_tables(partial(_feature_rows, version=1)),
     "one_hot_features": _on_tables(_one_hot_features),
     "split_counts": _on_tables(lambda t: feats.split_counts(feats.stratified_split(_feature_rows(t)))),
+    "fold_counts": _on_tables(_fold_counts),
+    "rule_choice": _on_tables(_rule_choice),
     "class_weights": _on_tables(lambda t: feats.class_weights(_feature_rows(t))),
     "model_metrics": _on_tables(_rule_metrics),
     "class_report": _on_tables(lambda t: risk.class_report(_late_rule(t), prediction="is_late")),
     "model_compare": _model_compare,
-    "model_tuning": _on_tables(_model_tuning),
+    "model_tuning": _model_tuning,
     "feature_importance": _feature_importance,
     "order_risk_scores": _order_risk_scores,
 }

@@ -55,11 +55,37 @@ def test_unreviewed_orders_can_count_as_negative(spark):
     assert dict(rows_of(feats.class_balance(df, "negative"), "is_low_review", "orders")) == {0: 2, 1: 1}
 
 
-def test_one_hot_drops_the_first_level_and_ignores_unseen_values(spark):
-    df = spark.createDataFrame([("a",), ("b",), ("c",), ("new",), (None,)], "x string")
-    encoded = feats.one_hot(df, "x", ["a", "b", "c"])
-    assert encoded.columns == ["x", "x_b", "x_c"]
-    assert rows_of(encoded, "x_b", "x_c") == [(0, 0), (1, 0), (0, 1), (0, 0), (0, 0)]
+def test_encoding_drops_the_first_level_and_ignores_unseen_values(spark):
+    rows = [("a", "card"), ("b", "cash"), ("x.y", "card"), ("x_y", "cash"), ("new", "pix"), (None, None)]
+    df = spark.createDataFrame(rows, f"{feats.CATEGORY} string, payment_type string")
+    encoding = risk.Encoding(("a", "b", "x.y", "x_y"), ("a", "b", "x.y", "x_y"), ("card", "cash"))
+    names = [i.name for i in encoding.indicators()]
+    # Levels that differ in a punctuation mark only have indicators of their own.
+    assert len(set(names)) == 4
+    assert [i.label for i in encoding.indicators()] == ["category_grouped_b", "category_grouped_x.y", "category_grouped_x_y", "payment_type_cash"]
+    found = {r[0]: tuple(r[n] for n in names) for r in encoding.stage().transform(df).collect()}
+    assert found == {"a": (0, 0, 0, 0), "b": (1, 0, 0, 1), "x.y": (0, 1, 0, 0), "x_y": (0, 0, 1, 1), "new": (0, 0, 0, 0), None: (0, 0, 0, 0)}
+
+
+def test_too_many_levels_are_an_error(spark):
+    df = spark.range(30).select(F.col("id").cast("string").alias("x"))
+    assert len(feats.levels(df, F.col("x"), most=30)) == 30
+    with pytest.raises(ValueError, match="more than 29"):
+        feats.levels(df, F.col("x"), most=29)
+
+
+def test_a_penalty_shrinks_coefficients(train):
+    size = lambda model: sum(abs(x) for x in model.stages[-1].coefficients)
+    encoding = risk.Encoding.learn(train)
+    assert size(risk.fit_lr(train, encoding, strength=1000.0)) < size(risk.fit_lr(train, encoding)) < size(risk.fit_lr(train, encoding, strength=0.0)) + 1e-6
+
+
+def test_kmeans_runs_to_convergence_or_fails(spark):
+    rows = [(f"{i}", i * 37 % 101, i % 7, float(i * 53 % 211)) for i in range(200)]
+    rfm = spark.createDataFrame(rows, "customer_unique_id string, recency_days int, frequency int, monetary double")
+    assert clusters.kmeans_segments(rfm, seeds=(1,)).count() == 200
+    with pytest.raises(RuntimeError, match="no convergence"):
+        clusters.kmeans_segments(rfm, seeds=(1,), max_iter=1)
 
 
 def test_metrics_of_known_predictions(spark):
@@ -112,7 +138,7 @@ def test_quoted_category_names_are_safe(train):
     )
     encoding = risk.Encoding.learn(renamed)
     ready = encoding.stage().transform(renamed)
-    name = "category_grouped_plain"
+    name = next(i.name for i in encoding.indicators() if i.label == "category_grouped_plain")
     assert name in ready.columns
     hits = ready.agg(F.sum(F.col(f"`{name}`"))).head()[0]
     assert hits == renamed.filter("order_dow_num <= 2").count()

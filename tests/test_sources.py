@@ -1,11 +1,13 @@
+import re
 from datetime import datetime
 from decimal import Decimal
 
+import pytest
 from builders import one, order, rows_of, table, tables
 
-from storelens.operators.mart import order_mart
+from storelens.operators.mart import order_mart, orders_enriched
 from storelens.plans.views import register_views
-from storelens.session import CachedFrame, materialize, release
+from storelens.session import CachedFrame, materialize, release, shared_folder, stored
 from storelens.sources import files
 from storelens.sources.schemas import SCHEMAS
 
@@ -74,6 +76,10 @@ def test_bucketed_tables_join_per_order_without_a_shuffle(spark, star):
         plan = built._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan
         assert built.exceptAll(order_mart(star, None, columns)).count() == 0
+        # With all columns the mart moves twice, to its products and to its customers, never to its orders.
+        for whole in (order_mart(saved, None), orders_enriched(saved)):
+            moved = re.findall(r"Exchange hashpartitioning\(([^,)]*)", whole._jdf.queryExecution().executedPlan().toString())
+            assert moved and not any(m.startswith("order_id") for m in moved)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
 
@@ -109,3 +115,33 @@ def test_materialised_tables_keep_types_and_can_be_released(spark):
     stored = materialize(df)
     assert stored.schema == df.schema and stored.collect() == df.collect()
     assert release(spark) == 1
+
+
+def test_a_block_owns_its_tables(spark):
+    release(spark)
+    with stored(spark) as s:
+        inside = materialize(spark.range(5))
+        assert inside.count() == 5 and s.tables == 1
+        assert release(spark) == 0 and inside.count() == 5
+    outside = materialize(spark.range(3))
+    assert outside.count() == 3 and release(spark) == 1
+
+
+def test_model_rows_survive_a_release(spark):
+    from storelens.plans.queries import _split
+
+    first = _split(spark, "/root/testdata/sf0.001")
+    assert _split(spark, "/root/testdata/sf0.001") is first
+    rows = first[0].count()
+    release(spark)
+    assert _split(spark, "/root/testdata/sf0.001")[0].count() == rows
+    release(spark)
+
+
+def test_without_a_named_folder_a_cluster_is_refused(spark, monkeypatch):
+    class Named:
+        sparkContext = type("C", (), {"master": "yarn", "applicationId": "x"})()
+        conf = type("F", (), {"get": staticmethod(lambda name, default=None: default)})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Named())

@@ -52,7 +52,7 @@ def test_head_size_does_not_change_scores(documents, ws, monkeypatch):
     docs = documents(TEXTS)
     whole = {r["doc_id"]: r["score"] for r in M.score(docs, workspace=ws).collect()}
     monkeypatch.setattr(M, "HEAD", 600)
-    monkeypatch.setattr(M, "OWN_CODE", 16)
+    monkeypatch.setattr(M, "OWN_CODE", 8)
     one = {r["doc_id"]: r["score"] for r in M.score(docs, workspace=ws).collect()}
     monkeypatch.setattr(M, "HEAD", 40)
     two = {r["doc_id"]: r["score"] for r in M.score(docs, workspace=ws).collect()}

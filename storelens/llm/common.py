@@ -112,3 +112,11 @@ def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Rec
             held.append(batch.slice(lo, hi - lo))
     if held:
         yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
+class Numbering(dict):
+    """Numbers its keys in the order in which they are first looked up."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        return number

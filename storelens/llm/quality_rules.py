@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, Workspace, let, pack, unpack, words
+from .common import NOT_SPACE, SPACE, Workspace, let, words
 
 # The base checks.
 SYMBOLS = r"[#*$%&|<>]"
@@ -270,9 +270,11 @@ def judge(docs: DataFrame, labels: DataFrame, *, workspace: Workspace | None = N
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, workspace: Workspace | None = None, **learning) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. Texts are read twice and never shuffled."""
+    """The rows of ``docs`` that stay, all columns. Texts are worked out once, stored beside their statistics, and never shuffled."""
     ws = Workspace.of(docs.sparkSession, workspace)
-    rules = learn_rules(ws.keep(text_statistics(docs)), labels, workspace=ws, **learning)
-    packed = pack(docs, "text")
-    judged = text_statistics(packed.withColumn("_row", F.struct("_row", "text")), "_row").where(~base_failed() & verdict(rules).isNull())
-    return unpack(judged.select("_row._row", "_row.text"), docs.columns, "text")
+    row = F.struct(*[docs[c].alias(f"_{k}") for k, c in enumerate(docs.columns)])
+    packed = docs.select(F.struct(row.alias("row"), docs["doc_id"].alias("doc_id")).alias("_row"), docs["text"].alias("text"))
+    stored = ws.keep(text_statistics(packed, "_row"))
+    rules = learn_rules(stored.select(F.col("_row.doc_id").alias("doc_id"), *[c for c in stored.columns if c != "_row"]), labels, workspace=ws, **learning)
+    judged = stored.where(~base_failed() & verdict(rules).isNull())
+    return judged.select(*[F.col(f"_row.row._{k}").alias(c) for k, c in enumerate(docs.columns)])

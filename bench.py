@@ -42,6 +42,9 @@ HEADLINE = (
     "pareto_customer_top20",
     "seasonality_5mo",
     "voucher_repeat_rate",
+    "rfm_kmeans_profile",
+    "one_hot_features",
+    "class_weights",
     "model_features",
     "split_counts",
 )

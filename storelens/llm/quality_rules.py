@@ -17,6 +17,7 @@ base checks reject.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -163,6 +164,13 @@ def _gain(bad: int, good: int, bad0: int, good0: int, cost: float) -> float:
     return bad * (math.log2(bad / (bad + cost * good)) - math.log2(bad0 / (bad0 + cost * good0)))
 
 
+def _cuts(values: Iterable[float]) -> list[float]:
+    """Thresholds from quantiles. Where many rows are 0, one lies half way to the least other value: a trace of something is not yet it."""
+    found = set(values)
+    above = {x for x in found if x > 0}
+    return sorted(above | ({min(above) / 2} if above and 0.0 in found else set()))
+
+
 def learn_rules(
     statistics: DataFrame,
     labels: DataFrame,
@@ -197,7 +205,7 @@ def learn_rules(
     found = known.groupBy("bad").agg(*[F.percentile_approx(k, at, 10_000).alias(k) for k in FEATURES]).collect()
     if len(found) < 2:
         return []
-    thresholds = {k: sorted({x for r in found for x in r[k]} - {0.0} | ({1e-9} if any(0.0 in r[k] for r in found) else set())) for k in FEATURES}
+    thresholds = {k: _cuts(x for r in found for x in r[k]) for k in FEATURES}
     bins = [sum(((F.col(k) >= t).cast("int") for t in v), F.lit(0)).alias(f"bin_{k}") for k, v in thresholds.items()]
     binned = ws.keep(known.select("bad", "grow", *bins))
 

@@ -26,13 +26,14 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Numbering, Workspace
 
 CLASSES = MEMBERS = 32
 CODES = CLASSES * MEMBERS
@@ -49,7 +50,9 @@ UPDATES = 2
 STEP, DAMP = 0.5, 60.0
 BLOCKS = 64
 #: Tokens taken apart at once, words a Python worker keeps, tokens counted together, contexts per numpy step.
-BATCH, CACHE, PORTION, STRIP = 100_000, 400_000, 2_000_000, 8_192
+BATCH, CACHE, PORTION, STRIP = 100_000, 300_000, 2_000_000, 8_192
+#: Training tokens per task of an update, where they are more than the cores can share.
+TASK_TOKENS = 20_000_000
 END = b"\n"  # no word holds white space
 
 
@@ -57,20 +60,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _hash(word: bytes) -> int:
+@functools.lru_cache(maxsize=1 << 16)
+def _code_of_ending(ending: bytes) -> int:
     import xxhash
 
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+    h = xxhash.xxh32_intdigest(ending, 7)
+    half = CLASSES // 2
+    return (half + h % half) * MEMBERS + h // half % MEMBERS
 
 
 def shared_code(word: bytes) -> int:
     """Code of a word without one of its own, by its last three bytes."""
-    import xxhash
-
-    h = xxhash.xxh32_intdigest(word[-3:], 7)
-    half = CLASSES // 2
-    return (half + h % half) * MEMBERS + h // half % MEMBERS
+    return _code_of_ending(word[-3:])
 
 
 class Words:
@@ -81,34 +82,34 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Numbering()
         self.hashes, self.codes = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def take(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def take(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts, each with its end token, and where each text begins."""
+        import xxhash
+
         if len(self.number) > CACHE:
             self.clear()
-        number, tokens, starts = self.number, [], []
+        tokens, starts, known = [], [], len(self.number)
         for t in texts:
             starts.append(len(tokens))
             # lower() of bytes changes A-Z only; split() of bytes knows just the six blanks.
-            tokens += (t or "").encode("utf-8", "surrogatepass").lower().split()
+            tokens += (t or b"").lower().split()
             tokens.append(END)
-        known = len(number)
-        for w in tokens:
-            if w not in number:
-                number[w] = len(number)
-        new = list(number)[known:] if len(number) > known else []
+        ids = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        new = list(islice(reversed(self.number), len(self.number) - known))[::-1]
         if new:
-            hashes = [_hash(w) for w in new]
-            self.hashes = np.concatenate([self.hashes, np.array(hashes, np.int64)])
-            self.codes = np.concatenate([self.codes, np.array([self.own.get(h, -1) if h in self.own else shared_code(w) for h, w in zip(hashes, new, strict=True)], np.int64)])
-        return np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)), np.array(starts, np.int64)
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64).view(np.int64)
+            own = self.own.get
+            codes = [shared_code(w) if (c := own(h)) is None else c for h, w in zip(hashes.tolist(), new, strict=True)]
+            self.hashes, self.codes = np.concatenate([self.hashes, hashes]), np.concatenate([self.codes, np.array(codes, np.int64)])
+        return ids, np.array(starts, np.int64)
 
 
 def text_batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
     """Slices of a batch with at most some BATCH tokens each, or one text."""
-    sizes = [len(t) if t is not None else 0 for t in batch["text"].to_pylist()]
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0).to_pylist()
     lo, chars = 0, 0
     for i, n in enumerate(sizes):
         if i > lo and chars + n > 6 * BATCH:
@@ -119,6 +120,10 @@ def text_batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
+def _bytes(texts: pa.Array) -> list[bytes | None]:
+    return texts.cast(pa.binary()).to_pylist()
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """hash, code (as if shared), n: training counts of all words of (text, held)."""
 
@@ -136,7 +141,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield flush()
                     words.clear()
                     total = np.zeros(0, np.int64)
-                ids, _ = words.take(batch["text"][lo:hi].to_pylist())
+                ids, _ = words.take(_bytes(batch["text"][lo:hi]))
                 more = np.bincount(ids, minlength=len(words.number))
                 more[: len(total)] += total
                 total = more
@@ -301,7 +306,7 @@ def update(docs: DataFrame, model: Model, step: float = STEP, damp: float = DAMP
         for batch in batches:
             batch = batch.filter(pa.compute.invert(batch["held"]))
             for lo, hi in text_batches(batch):
-                ids, starts = words.take(batch["text"][lo:hi].to_pylist())
+                ids, starts = words.take(_bytes(batch["text"][lo:hi]))
                 total.add(words.codes[ids], starts)
         total.flush()
         seen = total.seen.reshape(ROWS, MEMBERS)
@@ -310,12 +315,22 @@ def update(docs: DataFrame, model: Model, step: float = STEP, damp: float = DAMP
             if total.expected[part].any():
                 yield pa.record_batch([pa.array([b], pa.int32()), pa.array([_upper_half(seen[part])], pa.binary()), pa.array([_upper_half(total.expected[part])], pa.binary())], names=["block", "seen", "expected"])
 
-    sums = docs.select("text", "held").mapInArrow(run, "block int, seen binary, expected binary").rdd
-    sums = sums.map(lambda r: (r[0], np.stack([_from_upper_half(bytes(r[1])), _from_upper_half(bytes(r[2]))]).astype(np.float64)))
-    parts = min(BLOCKS, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # A gradient has the same size for any input, so few tasks with much text are better than many.
+    tasks = max(2 * context.defaultParallelism, model.tokens // TASK_TOKENS)
+    sums = docs.select("text", "held").coalesce(tasks).mapInArrow(run, "block int, seen binary, expected binary").rdd
+    sums = sums.map(lambda r: (r[0], (bytes(r[1]), bytes(r[2]))))
+    parts = min(BLOCKS // 4, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    def add_up(rows: Iterator[tuple[int, tuple[bytes, bytes]]]) -> Iterator[tuple[int, np.ndarray]]:
+        """What came over the shuffle in 16 bits is added up in 64, one block after another."""
+        total: dict[int, np.ndarray] = {}
+        for b, pair in rows:
+            total[b] = total.get(b, 0) + np.stack([_from_upper_half(x).astype(np.float64) for x in pair])
+        yield from total.items()
+
     weights = model.weights.copy()
     # The whole table comes back: a fixed number of weights.
-    for b, (seen, expected) in sums.reduceByKey(np.add, parts).toLocalIterator():
+    for b, (seen, expected) in sums.partitionBy(parts).mapPartitions(add_up).collect():
         seen, expected = seen.reshape(size, MEMBERS), expected.reshape(size, MEMBERS)
         n = expected.sum(axis=1, keepdims=True)
         q = expected / np.maximum(n, 1e-30)
@@ -370,31 +385,35 @@ def _score_texts(docs: DataFrame, model: Model) -> DataFrame:
         base_all = np.log10(m.tokens + ADD * (m.types + 1))
         code_all = np.log10(m.code_n + ADD * (m.code_types + 1))
 
+        # By word number: log10 of the count, and 1 for a known word, 0 for an unknown one, -1 where a join must tell.
+        log_n, state = np.empty(0), np.empty(0, np.int64)
+
         for batch in batches:
             for lo, hi in text_batches(batch):
-                ids, starts = words.take(batch["text"][lo:hi].to_pylist())
-                codes = words.codes[ids]
-                model_part = log_probabilities(m, codes, starts) - code_all[codes]
-                used, back = np.unique(ids, return_inverse=True)
-                h = words.hashes[used]
+                ids, starts = words.take(_bytes(batch["text"][lo:hi]))
+                if len(state) > len(words.hashes):
+                    log_n, state = np.empty(0), np.empty(0, np.int64)
+                h = words.hashes[len(state) :]
                 at = np.minimum(np.searchsorted(m.head_hash, h), max(0, len(m.head_hash) - 1))
                 found = m.head_hash[at] == h if len(m.head_hash) else np.zeros(len(h), bool)
                 n = np.where(found, m.head_n[at], 0) if len(m.head_hash) else np.zeros(len(h))
-                settled = found | m.complete
-                count_part = np.where(settled, np.log10(n + ADD), 0.0)[back]
-                known = (settled & (n > 0))[back]
+                log_n = np.concatenate([log_n, np.where(found | m.complete, np.log10(n + ADD), 0.0)])
+                state = np.concatenate([state, np.where(found, 1, 0 if m.complete else -1)])
+                codes = words.codes[ids]
+                model_part = log_probabilities(m, codes, starts) - code_all[codes]
+                count_part, own = log_n[ids], state[ids]
                 add = lambda x, starts=starts: np.add.reduceat(x, starts)
                 lengths = np.diff(np.append(starts, len(ids)))
                 # The words left over, counted by text.
-                doc = np.repeat(np.arange(hi - lo), lengths)
-                left = np.flatnonzero(~settled[back])
-                pair, times = np.unique(doc[left] * len(used) + back[left], return_counts=True)
-                offsets = np.searchsorted(pair, np.arange(hi - lo + 1) * len(used))
-                items = pa.StructArray.from_arrays([pa.array(h[pair % max(1, len(used))]), pa.array(times.astype(np.int64))], names=["hash", "n"])
+                left, width = np.flatnonzero(own < 0), len(state)
+                doc = np.searchsorted(starts, left, side="right") - 1
+                pair, times = np.unique(doc * width + ids[left], return_counts=True)
+                offsets = np.searchsorted(pair, np.arange(hi - lo + 1) * width)
+                items = pa.StructArray.from_arrays([pa.array(words.hashes[pair % width]), pa.array(times.astype(np.int64))], names=["hash", "n"])
                 yield pa.record_batch(
                     [
                         batch["doc_id"][lo:hi], batch["held"][lo:hi],
-                        pa.array(lengths), pa.array(add(known.astype(np.int64))),
+                        pa.array(lengths), pa.array(add((own > 0).astype(np.int64))),
                         pa.array(add(count_part) - lengths * base_all), pa.array(add(model_part + count_part)),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items).cast(tail_type),
                     ],

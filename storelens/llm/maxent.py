@@ -51,8 +51,8 @@ STEP, DAMP = 0.5, 60.0
 BLOCKS = 64
 #: Tokens taken apart at once, words a Python worker keeps, tokens counted together, contexts per numpy step.
 BATCH, CACHE, PORTION, STRIP = 100_000, 300_000, 2_000_000, 8_192
-#: Training tokens per task of an update, where they are more than the cores can share.
-TASK_TOKENS = 20_000_000
+#: Training tokens per task of an update.
+TASK_TOKENS = 6_000_000
 END = b"\n"  # no word holds white space
 
 
@@ -315,8 +315,8 @@ def update(docs: DataFrame, model: Model, step: float = STEP, damp: float = DAMP
             if total.expected[part].any():
                 yield pa.record_batch([pa.array([b], pa.int32()), pa.array([_upper_half(seen[part])], pa.binary()), pa.array([_upper_half(total.expected[part])], pa.binary())], names=["block", "seen", "expected"])
 
-    # A gradient has the same size for any input, so few tasks with much text are better than many.
-    tasks = max(2 * context.defaultParallelism, model.tokens // TASK_TOKENS)
+    # A task's gradient has a fixed size, so a task takes much text, and their number follows the text.
+    tasks = max(1, -(-model.tokens // TASK_TOKENS))
     sums = docs.select("text", "held").coalesce(tasks).mapInArrow(run, "block int, seen binary, expected binary").rdd
     sums = sums.map(lambda r: (r[0], (bytes(r[1]), bytes(r[2]))))
     parts = min(BLOCKS // 4, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

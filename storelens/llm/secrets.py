@@ -6,8 +6,9 @@ copies of a text, old versions and unchanged rules cost nothing again. Findings
 and version that holds the blob.
 
 All steps are DataFrame code. A blob's copies are reduced to one before its text is shuffled.
-A ledger is a folder of three appended tables (versions, findings, scanned). ``scanned`` is written last: a
-scan that breaks off is done again, and findings written twice count once.
+A ledger is a folder of four appended tables (texts, versions, findings, scanned). It holds each blob's text once, so
+that a changed rule reaches every known blob; only pairs whose text was read are marked. ``scanned`` is written last:
+a scan that breaks off is done again, and findings written twice count once.
 
 Offsets are code points, the end is exclusive. Defined results: a null text is the empty blob; equal rows
 of a version stay equal rows; a blob without findings has no row in ``findings``.
@@ -15,6 +16,7 @@ of a version stay equal rows; a blob without findings has no row in ``findings``
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -57,6 +59,7 @@ RULES = BASE + MORE
 _SCHEMAS = {
     "findings": "blob string, rule string, start long, end long",
     "scanned": "blob string, rule string",
+    "texts": "blob string, text string, scan string",
 }
 
 
@@ -96,29 +99,33 @@ class BlobLedger:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def _read(self, name: str) -> DataFrame:
+    def _stored(self, name: str) -> DataFrame:
         empty = self.spark.createDataFrame([], _SCHEMAS[name])
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.folder}/{name}").distinct() if there else empty
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.folder}/{name}") if there else empty
+
+    def _read(self, name: str) -> DataFrame:
+        return self._stored(name).distinct()
 
     def scan(self, versions: DataFrame, rules: Sequence[SecretRule] = RULES) -> None:
-        """Take in rows of (path, version, text) and scan what is new in them."""
+        """Take in rows of (path, version, text) and scan every known blob under the rules it was not scanned with."""
         addressed = versions.withColumn("blob", blob_of(F.col("text")))
+        names, own = F.array(*[F.lit(r.name) for r in rules]), uuid.uuid4().hex
+        one = addressed.groupBy("blob").agg(F.coalesce(F.first("text", ignorenulls=True), F.lit("")).alias("text"))
+        one.join(self._stored("texts").select("blob"), "blob", "left_anti").write.parquet(f"{self.folder}/texts/scan={own}")
         addressed.select("path", "version", "blob").write.mode("append").parquet(f"{self.folder}/versions")
-        names = F.array(*[F.lit(r.name) for r in rules])
-        done = self._read("scanned").groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        one = addressed.groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text")).join(done, "blob", "left")
-        one = one.select("blob", F.coalesce("text", F.lit("")).alias("text"), F.array_except(names, F.coalesce("done", F.array().cast("array<string>"))).alias("todo"))
+        texts = self._stored("texts")
+        older, newer = texts.where(F.col("scan") != own), texts.where(F.col("scan") == own)
         with Workspace(self.spark) as ws:
-            # What is new is decided before anything of this scan is written.
-            rows = one.where(F.size("todo") > 0)
-            found = ws.keep(find_spans(rows, rules))
-            seen = self.spark.read.parquet(f"{self.folder}/versions").select("blob").distinct()
-            new = seen.join(self._read("scanned").groupBy("blob").agg(F.collect_set("rule").alias("done")), "blob", "left")
-            new = ws.keep(new.select("blob", F.explode(F.array_except(names, F.coalesce("done", F.array().cast("array<string>")))).alias("rule")))
-            found.write.mode("append").parquet(f"{self.folder}/findings")
-            new.write.mode("append").parquet(f"{self.folder}/scanned")
+            done = self._read("scanned").groupBy("blob").agg(F.collect_set("rule").alias("done"))
+            todo = older.select("blob").join(done, "blob", "left")
+            todo = todo.select("blob", F.array_except(names, F.coalesce("done", F.array().cast("array<string>"))).alias("todo"))
+            todo = ws.keep(todo.where(F.size("todo") > 0))
+            rows = newer.select("blob", "text", names.alias("todo")).unionByName(older.select("blob", "text").join(todo, "blob"))
+            find_spans(rows, rules).write.mode("append").parquet(f"{self.folder}/findings")
+            pairs = newer.select("blob", names.alias("todo")).unionByName(todo)
+            pairs.select("blob", F.explode("todo").alias("rule")).write.mode("append").parquet(f"{self.folder}/scanned")
 
     def versions(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/versions")

@@ -65,6 +65,24 @@ def test_broken_scan_is_done_again(spark, ws, monkeypatch):
     assert half.findings(S.BASE).count() == 1
 
 
+def test_a_new_rule_reaches_older_texts(spark, ws):
+    ledger = S.BlobLedger(spark, f"{ws.path}/ledger")
+    rows = lambda *x: spark.createDataFrame(x, "path string, version int, text string")
+    old = ("a", 1, "id: " + "0123456789abcdef" * 2)
+    ledger.scan(rows(old), S.BASE[:2])
+    ledger.scan(rows(("b", 1, "clean")), S.BASE)
+    want = {("a", 1, "hex", 4, 36)}
+    found = lambda x: {(r["path"], r["version"], r["kind"], r["start"], r["end"]) for r in x.by_path(S.BASE).collect()}
+    assert found(ledger) == want
+    # A scan that broke off before its texts were read marks nothing; they are read when they come again.
+    broken = S.BlobLedger(spark, f"{ws.path}/broken")
+    rows(old).select("path", "version", S.blob_of(F.col("text")).alias("blob")).write.parquet(f"{broken.folder}/versions")
+    broken.scan(rows(("b", 1, "clean")), S.BASE)
+    assert spark.read.parquet(f"{broken.folder}/scanned").count() == len(S.BASE)
+    broken.scan(rows(old), S.BASE)
+    assert found(broken) == want
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_redaction(documents, ws, extra):
     docs = documents([*TEXTS, TEXTS[8]])

@@ -2,10 +2,12 @@
 
 Every vector holds a list of its nearest neighbours so far. Lists begin with the neighbours in a few tables of
 random hyperplane hashes. In each round the neighbours of a vector, forward and reverse, are compared with each
-other (neighbours-of-neighbours join), and what they find improves their lists. Links are the pairs of
-the final lists at or above the threshold, checked in double precision.
+other (neighbours-of-neighbours join), and what they find improves their lists. Links are the pairs at or above
+the threshold, checked in double precision, that any list ever held. Where pairs compared in a bucket or a join link
+vectors that lists leave apart, a spanning forest of them is kept beside the lists.
 
-A list full of links is saturated: it may hide more. The component of a saturated list is then
+A list full of links is saturated: it may hide more. Components with saturated lists are compared with each other:
+balls around them that are too far apart to link are left out, by the angles of their centres and radii. Each merged component is then
 compared with itself, block by block, so its lists grow to all their links; only their numbers are kept.
 An audit compares a bounded sample of vectors with all others; while it finds less than the wanted recall, the
 lists are doubled and the rounds go on.
@@ -43,7 +45,8 @@ SEED = 5
 #: float32 candidates this close below the threshold are checked too.
 SLACK = 1e-4
 
-_EDGES = "src long, dst long, sim float"
+_EDGES = "src long, dst long, sim float, tie boolean"
+_BALL = "label {label}, dim int, comp long, own int, centre binary, radius double"
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -75,7 +78,22 @@ def nodes_of(rows: DataFrame, ws: Workspace) -> DataFrame:
     return ws.keep(groups.withColumn("dim", F.size("embedding")).join(unit, "node"))
 
 
-def _hash_tables(nodes: DataFrame, tables: int, first: int, ws: Workspace) -> DataFrame:
+def _ties(sim: np.ndarray, part: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join the parts of a group wherever its links do: a forest, and all pairs too close to the threshold to tell."""
+    part, a, b = part.copy(), [], []
+    sure = sim >= threshold + SLACK
+    while (cross := sure & (part[:, None] != part[None, :])).any():
+        i = int(cross.any(axis=1).argmax())
+        others = np.flatnonzero(cross[i])
+        met, one = np.unique(part[others], return_index=True)
+        a += [i] * len(met)
+        b += others[one].tolist()
+        part[np.isin(part, met)] = part[i]
+    i, j = np.nonzero(np.triu((sim >= threshold - SLACK) & ~sure & (part[:, None] != part[None, :]), 1))
+    return np.concatenate([np.array(a, np.int64), i]), np.concatenate([np.array(b, np.int64), j])
+
+
+def _hash_tables(nodes: DataFrame, tables: int, first: int, threshold: float) -> DataFrame:
     """Candidate edges from buckets of random hyperplane hashes, about sixteen vectors each."""
     sizes = nodes.groupBy("label", "dim").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / 16))).cast("int").alias("bits"))
     sized = nodes.join(sizes, ["label", "dim"]).select("node", "label", "dim", F.least("bits", F.lit(24)).alias("bits"), "vec")
@@ -114,7 +132,10 @@ def _hash_tables(nodes: DataFrame, tables: int, first: int, ws: Workspace) -> Da
             np.fill_diagonal(sim, -2)
             k = min(NEIGHBOURS, len(ids) - 1)
             near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            yield pa.record_batch([pa.array(np.repeat(ids, k)), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(sim, near, 1).ravel())], names=["src", "dst", "sim"])
+            i, j = _ties(sim, np.arange(len(ids)), threshold)
+            src, dst = np.concatenate([np.repeat(ids, k), ids[i]]), np.concatenate([ids[near].ravel(), ids[j]])
+            sims = np.concatenate([np.take_along_axis(sim, near, 1).ravel(), sim[i, j]])
+            yield pa.record_batch([pa.array(src), pa.array(dst), pa.array(sims), pa.array(np.arange(len(src)) >= len(ids) * k)], names=["src", "dst", "sim", "tie"])
 
     grouped = dealt.repartition("key", "dim").sortWithinPartitions("key", "dim")
     # Two labels that share a hash key may meet; such pairs are dropped.
@@ -123,25 +144,27 @@ def _hash_tables(nodes: DataFrame, tables: int, first: int, ws: Workspace) -> Da
 
 
 def _nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of each list: src, dst, sim, fresh."""
-    one = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    """The ``k`` best of each list, and the ties: src, dst, sim, fresh, listed."""
+    one = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"), F.max("tie").alias("tie"))
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))
-    return one.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    one = one.withColumn("listed", rank <= k).where(F.col("listed") | F.col("tie"))
+    return one.select("src", "dst", "sim", "fresh", "listed")
 
 
-def _local_join(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """What the neighbours of each vector are to each other, where it improves a list."""
+def _local_join(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """What the neighbours of each vector are to each other, where it improves a list or ties what lists leave apart."""
     worst = graph.groupBy("src").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-    both = graph.select(F.col("src").alias("at"), F.col("dst").alias("node"), "fresh")
-    both = both.union(graph.select("dst", "src", "fresh")).groupBy("at", "node").agg(F.max("fresh").alias("fresh"))
+    linked = (F.col("sim") >= threshold + SLACK).alias("linked")
+    both = graph.select(F.col("src").alias("at"), F.col("dst").alias("node"), "fresh", linked)
+    both = both.union(graph.select("dst", "src", "fresh", linked)).groupBy("at", "node").agg(F.max("fresh").alias("fresh"), F.max("linked").alias("linked"))
     # Reverse lists of popular vectors are compared in parts.
     splits = both.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / LOCAL).cast("int").alias("splits"), F.max("fresh").alias("any")).where("any")
     both = both.join(splits, "at").withColumn("split", F.pmod(F.xxhash64("node", "at"), F.col("splits")).cast("int"))
     known = nodes.select("node", "vec", "label", "dim").join(worst.withColumnRenamed("src", "node"), "node", "left")
-    rows = both.join(known, "node").select("at", "split", "dim", "node", "fresh", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"), "vec")
+    rows = both.join(known, "node").select("at", "split", "dim", "node", "fresh", "linked", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"), "vec")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, dst, sims, held = [], [], [], 0
+        src, dst, sims, ties, held = [], [], [], [], 0
         for group in runs(batches, ["at", "split", "dim"]):
             ids = group["node"].to_numpy()
             if len(ids) < 2:
@@ -151,30 +174,39 @@ def _local_join(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             sim = v @ v.T
             good = (sim > worst[:, None]) & (fresh[:, None] | fresh[None, :])
             np.fill_diagonal(good, False)
-            i, j = np.nonzero(good)
-            src.append(ids[i])
-            dst.append(ids[j])
-            sims.append(sim[i, j])
-            held += len(i)
+            # What links to the vector in the middle hangs together by its list.
+            part = np.where(group["linked"].to_numpy(zero_copy_only=False), 0, np.arange(1, len(ids) + 1))
+            for (i, j), tie in ((np.nonzero(good), False), (_ties(sim, part, threshold), True)):
+                src.append(ids[i])
+                dst.append(ids[j])
+                sims.append(sim[i, j])
+                ties.append(np.full(len(i), tie))
+                held += len(i)
             if held > 50_000:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (src, dst, sims)], names=["src", "dst", "sim"])
-                src, dst, sims, held = [], [], [], 0
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (src, dst, sims, ties)], names=["src", "dst", "sim", "tie"])
+                src, dst, sims, ties, held = [], [], [], [], 0
         if src:
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (src, dst, sims)], names=["src", "dst", "sim"])
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (src, dst, sims, ties)], names=["src", "dst", "sim", "tie"])
 
     return rows.repartition("at", "split").sortWithinPartitions("at", "split", "dim").mapInArrow(compare, _EDGES)
 
 
-def descend(nodes: DataFrame, graph: DataFrame, k: int, rounds: int, ws: Workspace) -> DataFrame:
-    """Rounds of neighbours-of-neighbours joins; stops when a round changes under a hundredth of the lists' places."""
+def descend(nodes: DataFrame, start: DataFrame, k: int, rounds: int, threshold: float, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Rounds of neighbours-of-neighbours joins: the last lists, and every close pair that lists or ties ever held.
+
+    Stops when a round changes under a hundredth of the lists' places.
+    """
+    every = ws.keep(_nearest(start, k))
+    graph, close = every.where("listed"), every.where(F.col("sim") >= threshold - SLACK)
     places = max(1, graph.count())
     for _ in range(rounds):
-        found = _local_join(graph, nodes, k).withColumn("fresh", F.lit(True))
-        old = graph.withColumn("fresh", F.lit(False))
-        graph = ws.keep(_nearest(old.unionByName(found), k))
+        found = _local_join(graph, nodes, k, threshold).withColumn("fresh", F.lit(True))
+        old = graph.select("src", "dst", "sim", F.lit(False).alias("tie"), F.lit(False).alias("fresh"))
+        every = ws.keep(_nearest(old.unionByName(found), k))
+        graph, close = every.where("listed"), close.unionByName(every.where(F.col("sim") >= threshold - SLACK))
         if graph.where("fresh").count() < places / 100:
             break
-    return graph
+    return graph, close.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
 def exact_links(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -193,6 +225,69 @@ def exact_links(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     return rows.select("a", "b", "va", "vb").mapInArrow(check, "a long, b long")
 
 
+def _between(members: DataFrame, threshold: float, ws: Workspace) -> DataFrame:
+    """(a, b): one link of any two of the components (comp, label, dim, node, vec) that link, or more.
+
+    A component is one or several balls, a centre and the largest angle from it. Members are compared where the balls are close enough to hold a link.
+    """
+    sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    m = members.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    m = ws.keep(m.select("comp", "own", "label", "dim", "node", "vec"))
+    label_type = m.schema["label"].dataType.simpleString()
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["comp", "own"]):
+            v = _stack(group["vec"], "<f8")
+            mean = v.mean(axis=0)
+            centre = _unit(mean[None, :])[0] if np.abs(mean).max() > 1e-9 else v[0]
+            radius = float(np.arccos(np.clip(v @ centre, -1, 1)).max())
+            one = group.slice(0, 1)
+            yield pa.record_batch(
+                [*(pa.array(one[c].to_pylist(), group.schema.field(c).type) for c in ("label", "dim", "comp", "own")), pa.array([centre.tobytes()], pa.binary()), pa.array([radius])],
+                names=["label", "dim", "comp", "own", "centre", "radius"],
+            )
+
+    dealt = m.repartition("comp", "own").sortWithinPartitions("comp", "own")
+    balls = ws.keep(dealt.mapInArrow(wrap, _BALL.format(label=label_type)))
+    groups = balls.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    b = balls.join(groups, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("comp", "own"), F.col("n")).cast("int"))
+    b = b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    b = b.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    reach = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["label", "dim", "i", "j"]):
+            v, r = _stack(group["centre"], "<f8"), group["radius"].to_numpy()
+            comp, own, block = (group[c].to_numpy() for c in ("comp", "own", "block"))
+            here, there = np.flatnonzero(block == group["i"].to_numpy()), np.flatnonzero(block == group["j"].to_numpy())
+            for at in range(0, len(here), 256):
+                part = here[at : at + 256]
+                angle = np.arccos(np.clip(v[part] @ v[there].T, -1, 1))
+                x, y = np.nonzero((angle <= r[part][:, None] + r[there][None, :] + reach + 1e-6) & (comp[part][:, None] != comp[there][None, :]))
+                x, y = part[x], there[y]
+                # A pair inside one block is seen from both sides.
+                once = (block[x] != block[y]) | (comp[x] < comp[y])
+                x, y = x[once], y[once]
+                yield pa.record_batch([pa.array(z) for z in (comp[x], own[x], comp[y], own[y])], names=["c0", "o0", "c1", "o1"])
+
+    near = b.select("label", "dim", "i", "j", "block", "comp", "own", "centre", "radius").repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j")
+    near = ws.keep(near.mapInArrow(meet, "c0 long, o0 int, c1 long, o1 int").withColumn("pair", F.monotonically_increasing_id()))
+    side = lambda k: near.select("pair", F.lit(k).alias("side"), F.col(f"c{k}").alias("comp"), F.col(f"o{k}").alias("own"))
+    rows = side(0).unionByName(side(1)).join(m, ["comp", "own"]).select("pair", "side", "node", "vec")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["pair"]):
+            v, ids, first = _stack(group["vec"], "<f8"), group["node"].to_numpy(), group["side"].to_numpy() == 0
+            here, there = np.flatnonzero(first), np.flatnonzero(~first)
+            for at in range(0, len(here), 256):
+                x, y = np.nonzero(v[here[at : at + 256]] @ v[there].T >= threshold)
+                if len(x):
+                    yield pa.record_batch([pa.array(ids[here[at + x[:1]]]), pa.array(ids[there[y[:1]]])], names=["a", "b"])
+                    break
+
+    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(link, "a long, b long")
+
+
 def _inside(members: DataFrame, threshold: float) -> DataFrame:
     """node, links: of the members (comp, dim, node, times, vec) of each component with each other, block by block."""
     sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -268,17 +363,23 @@ def near_duplicates(
     ws = Workspace.of(rows.sparkSession, workspace)
     rows = rows.select("vec_id", "embedding", "label").withColumn("good", usable(F.col("embedding")) & F.col("label").isNotNull())
     nodes = nodes_of(rows.where("good"), ws)
-    k, graph, reached, links, named = neighbours, None, 0.0, None, None
+    k, graph, pairs, reached, links, named = neighbours, None, None, 0.0, None, None
     for attempt in range(ENLARGEMENTS + 1):
-        found = _hash_tables(nodes, tables, attempt, ws).withColumn("fresh", F.lit(True))
-        start = found if graph is None else graph.withColumn("fresh", F.lit(True)).unionByName(found)
-        graph = descend(nodes, ws.keep(_nearest(start, k)), k, rounds, ws)
-        close = graph.where(F.col("sim") >= threshold - SLACK)
-        pairs = close.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-        pairs = ws.keep(exact_links(pairs, nodes, threshold))
+        found = _hash_tables(nodes, tables, attempt, threshold).withColumn("fresh", F.lit(True))
+        old = None if graph is None else graph.select("src", "dst", "sim", F.lit(False).alias("tie"), F.lit(True).alias("fresh"))
+        graph, close = descend(nodes, found if old is None else old.unionByName(found), k, rounds, threshold, ws)
+        # Links of earlier attempts stay.
+        new = exact_links(close if pairs is None else close.join(pairs, ["a", "b"], "left_anti"), nodes, threshold)
+        pairs = ws.keep(new if pairs is None else pairs.unionByName(new))
         named = ws.keep(components(pairs, ws))
-        saturated = close.groupBy("src").count().where(F.col("count") >= k).select(F.col("src").alias("node"))
+        saturated = graph.where(F.col("sim") >= threshold - SLACK).groupBy("src").count().where(F.col("count") >= k).select(F.col("src").alias("node"))
         hidden = named.join(saturated, "node").select("root").distinct()
+        members = named.join(hidden, "root").join(nodes, "node").select(F.col("root").alias("comp"), "label", "dim", "node", "vec")
+        more = ws.keep(_between(members, threshold, ws))
+        if not more.isEmpty():
+            pairs = ws.keep(pairs.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+            named = ws.keep(components(pairs, ws))
+            hidden = named.join(saturated, "node").select("root").distinct()
         inside = named.join(hidden, "root").join(nodes, "node").select(F.col("root").alias("comp"), "node", "times", "vec")
         both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
         listed = both.join(nodes.select(F.col("node").alias("other"), "times"), "other").groupBy("node").agg(F.sum("times").alias("listed"))

@@ -56,6 +56,34 @@ def test_a_group_larger_than_a_block(spark, ws, monkeypatch):
     check(spark, ws, clusters(np.random.default_rng(2), [1] * 50 + [150], labels=1))
 
 
+def twins(rng, size, inside=0.99, across=0.95, dim=64):
+    """Two groups; cosine ``inside`` each and ``across`` between them."""
+    a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+    turn = across / inside
+    b = turn * a + np.sqrt(1 - turn * turn) * b
+    noise = rng.normal(size=(2 * size, dim))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    v = np.sqrt(inside) * np.repeat([a, b], size, axis=0) + np.sqrt(1 - inside) * noise
+    return [(k, x.astype(np.float32).tolist(), 0) for k, x in enumerate(v)]
+
+
+@pytest.mark.parametrize("ties", [True, False])
+def test_full_lists_do_not_part_linked_groups(spark, ws, monkeypatch, ties):
+    if not ties:
+        monkeypatch.setattr(N, "_between", lambda members, threshold, ws: spark.createDataFrame([], "a long, b long"))
+    check(spark, ws, twins(np.random.default_rng(4), 200))
+
+
+def test_saturated_components_are_compared_with_each_other(spark, ws, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 30)
+    nodes = ws.keep(N.nodes_of(spark.createDataFrame([*twins(np.random.default_rng(4), 40), *((80 + k, v, 0) for k, v, _ in twins(np.random.default_rng(5), 40))], SCHEMA), ws))
+    comp = F.floor(F.col("least") / 40)
+    got = N._between(nodes.withColumn("comp", comp), N.THRESHOLD, ws)
+    side = nodes.select(F.col("node"), comp.alias("c"))
+    pairs = got.join(side.toDF("a", "ca"), "a").join(side.toDF("b", "cb"), "b").select(F.least("ca", "cb"), F.greatest("ca", "cb")).distinct().collect()
+    assert {tuple(r) for r in pairs} == {(0, 1), (2, 3)}
+
+
 def test_edge_cases(spark, ws):
     v = [1.0, 2.0, 3.0]
     rows = [

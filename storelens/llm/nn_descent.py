@@ -9,8 +9,9 @@ vectors that lists leave apart, a spanning forest of them is kept beside the lis
 A list full of links is saturated: it may hide more. Components with saturated lists are compared with each other:
 balls around them that are too far apart to link are left out, by the angles of their centres and radii. Each merged component is then
 compared with itself, block by block, so its lists grow to all their links; only their numbers are kept.
-An audit compares a bounded sample of vectors with all others; while it finds less than the wanted recall, the
-lists are doubled and the rounds go on.
+An audit compares a sample of vectors with all others. The sample grows until enough of its vectors have a few
+links, to a bound; the least recall of the group sizes counts. While it is below what is wanted, or the sample shows too few links to tell, the
+lists are doubled and the rounds go on. The number of hash tables follows the number of hash bits.
 
 Vectors link within one label and dimension only. Equal vectors of a label are one node with a multiplicity.
 All rows move through Spark; numpy works on groups of bounded size.
@@ -39,8 +40,10 @@ RECALL = 0.98
 ENLARGEMENTS = 3
 #: Rows compared at once: in a hash bucket, among the neighbours of one vector, in a component.
 CHUNK, LOCAL, BLOCK = 96, 64, 2048
-#: Vectors in the audit.
-AUDIT = 256
+#: Chance of a pair at the threshold to meet in some hash table.
+MEET = 0.9
+#: Vectors in the audit, at first and at most; it wants so many with one to FEW links. A group size counts from SEEN vectors.
+AUDIT, AUDIT_MOST, EVIDENCE, FEW, SEEN = 256, 16_384, 100, 15, 10
 SEED = 5
 #: float32 candidates this close below the threshold are checked too.
 SLACK = 1e-4
@@ -321,32 +324,65 @@ def _inside(members: DataFrame, threshold: float) -> DataFrame:
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the true links of a bounded sample of vectors that ``links`` (node, links) has."""
+def tables_for(nodes: DataFrame, tables: int, threshold: float) -> int:
+    """``tables``, or more where the labels' hashes are so long that a pair at the threshold would often miss."""
+    most = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    bits = min(24, max(0, int(np.ceil(np.log2(max(most, 1) / 16)))))
+    meets = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return tables if meets >= MEET else max(tables, int(np.ceil(np.log(1 - MEET) / np.log1p(-meets))))
+
+
+def _true_links(nodes: DataFrame, threshold: float, sample: int) -> DataFrame:
+    """node, n: true links of a sample of vectors, with those of equal ones."""
     picked = nodes.orderBy(F.xxhash64("node", F.lit(SEED))).limit(sample).select("node", "label", "dim", "vec").toArrow()
-    if not picked.num_rows:
-        return 1.0
-    queries: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    for key in {(r["label"], r["dim"]) for r in picked.select(["label", "dim"]).to_pylist()}:
-        rows = [r for r in picked.to_pylist() if (r["label"], r["dim"]) == key]
-        queries[key] = np.array([r["node"] for r in rows]), np.stack([np.frombuffer(r["vec"], "<f8") for r in rows])
+    held: dict[tuple, list] = {}
+    for r in picked.to_pylist():
+        held.setdefault((r["label"], r["dim"]), []).append((r["node"], np.frombuffer(r["vec"], "<f8")))
+    queries = {key: (np.array([n for n, _ in rows]), np.stack([v for _, v in rows])) for key, rows in held.items()}
+    shared = nodes.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
+        queries = shared.value
         for batch in batches:
             keys = list(zip(batch["label"].to_pylist(), batch["dim"].to_pylist(), strict=True))
             for key in set(keys) & set(queries):
                 own = np.flatnonzero([k == key for k in keys])
                 v = _stack(batch["vec"].take(pa.array(own)), "<f8")
                 times = batch["times"].to_numpy()[own]
-                for q, n in zip(queries[key][0].tolist(), ((queries[key][1] @ v.T >= threshold) @ times).tolist(), strict=True):
-                    total[q] = total.get(q, 0) + n
+                ids, q = queries[key]
+                n = sum((q @ v[at : at + 512].T >= threshold) @ times[at : at + 512] for at in range(0, len(v), 512))
+                for i, x in zip(ids.tolist(), n.tolist(), strict=True):
+                    total[i] = total.get(i, 0) + x
         yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["node", "n"])
 
-    true = nodes.select("label", "dim", "times", "vec").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    both = true.join(nodes.select("node", "times"), "node").join(links, "node", "left")
-    r = both.agg(F.sum(F.col("n") - F.col("times")).alias("true"), F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("n") - F.col("times"))).alias("found")).first()
-    return r["found"] / r["true"] if r["true"] else 1.0
+    return nodes.select("label", "dim", "times", "vec").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT) -> float | None:
+    """Least share, over all links and those of each group size, of the true links of a sample that ``links`` (node, links) has.
+
+    None where a sample of the greatest size shows too few vectors with few links. A sample of all vectors is never too small.
+    """
+    every = nodes.count()
+    while True:
+        both = _true_links(nodes, threshold, sample).join(nodes.select("node", "times"), "node").join(links, "node", "left")
+        real = (F.col("n") - F.col("times")).alias("real")
+        both = both.select(real, F.coalesce("links", F.lit(0)).alias("links")).where(F.col("real") > 0)
+        # Group sizes by powers of four.
+        size = F.floor(F.log2("real") / 2).alias("size")
+        sums = both.groupBy(size).agg(
+            F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("real") <= FEW).alias("few"), F.sum("real").alias("real"), F.sum(F.least("links", "real")).alias("found")
+        ).collect()
+        if sample >= every or sum(r["few"] for r in sums) >= EVIDENCE:
+            break
+        if sample >= AUDIT_MOST:
+            return None
+        sample = min(4 * sample, AUDIT_MOST)
+    if not sums:
+        return 1.0
+    pooled = sum(r["found"] for r in sums) / sum(r["real"] for r in sums)
+    return min([pooled, *(r["found"] / r["real"] for r in sums if r["vectors"] >= SEEN)])
 
 
 def near_duplicates(
@@ -359,10 +395,11 @@ def near_duplicates(
     recall: float = RECALL,
     workspace: Workspace | None = None,
 ) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label); ``audited_recall`` as well."""
+    """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label); ``audited_recall`` (null: too few links seen) as well."""
     ws = Workspace.of(rows.sparkSession, workspace)
     rows = rows.select("vec_id", "embedding", "label").withColumn("good", usable(F.col("embedding")) & F.col("label").isNotNull())
     nodes = nodes_of(rows.where("good"), ws)
+    tables = tables_for(nodes, tables, threshold)
     k, graph, pairs, reached, links, named = neighbours, None, None, 0.0, None, None
     for attempt in range(ENLARGEMENTS + 1):
         found = _hash_tables(nodes, tables, attempt, threshold).withColumn("fresh", F.lit(True))
@@ -386,7 +423,7 @@ def near_duplicates(
         counted = _inside(inside, threshold).withColumnRenamed("links", "counted")
         links = ws.keep(listed.join(counted, "node", "left").select("node", F.coalesce("counted", "listed").alias("links")))
         reached = audit(nodes, links, threshold)
-        if reached >= recall:
+        if reached is not None and reached >= recall:
             break
         k *= 2
     least = named.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
@@ -395,7 +432,7 @@ def near_duplicates(
     known = known.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("component", "least").alias("c"))
     out = rows.join(known, F.col("good") & (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left")
     component = F.when(F.col("good"), F.col("c")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(reached).alias("audited_recall"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(reached).cast("double").alias("audited_recall"))
 
 
 def brute_force(vectors: Sequence[Sequence[float]], threshold: float = THRESHOLD) -> np.ndarray:

@@ -112,3 +112,21 @@ def test_audit_counts_missing_links(spark, ws):
     rows = clusters(np.random.default_rng(3), [1] * 10 + [6] * 5, labels=1)
     nodes = N.nodes_of(spark.createDataFrame(rows, SCHEMA), ws)
     assert N.audit(nodes, spark.createDataFrame([], "node long, links long"), N.THRESHOLD) == 0.0
+
+
+def test_audit_looks_until_it_has_seen_small_groups(spark, ws, monkeypatch):
+    # A large group that is whole, and a few pairs that are all missed.
+    rows = clusters(np.random.default_rng(6), [1] * 300 + [200] + [2] * 12, labels=1)
+    nodes = N.nodes_of(spark.createDataFrame(rows, SCHEMA), ws)
+    true = {i: n for i, (n, _) in want(rows).items()}
+    whole = spark.createDataFrame([(i, n) for i, n in true.items() if n > 100], "least long, links long")
+    links = ws.keep(nodes.join(whole, "least").select("node", "links"))
+    assert N.audit(nodes, links, N.THRESHOLD, 16) == 0.0
+    # No evidence is no pass.
+    monkeypatch.setattr(N, "AUDIT_MOST", 16)
+    assert N.audit(nodes, links, N.THRESHOLD, 16) is None
+
+
+def test_longer_hashes_get_more_tables(spark):
+    nodes = lambda n: spark.range(n).select(F.lit(1).alias("label"), F.lit(8).alias("dim"))
+    assert [N.tables_for(nodes(n), N.TABLES, N.THRESHOLD) for n in (0, 16, 10_000, 1_000_000)] == [4, 4, 8, 17]

@@ -72,10 +72,10 @@ def welch_ttest(df: DataFrame, value: str, group: str) -> DataFrame:
         F.pow(se1 + se0, F.lit(2)),
         F.try_divide(se1 * se1, c("n1") - 1) + F.try_divide(se0 * se0, c("n0") - 1),
     )
-    p = t_two_sided_p(t, dof)
-    rounded = [F.round(c(n), PLACES).alias(n) if not n.startswith("n") else c(n) for n in names]
-    places = [F.round(x, PLACES).alias(n) for x, n in ((t, "t"), (dof, "dof"), (p, "p_value"))]
-    return parts.select(*rounded, *places)
+    # Three selects: inside a lambda a name means the alias of the same select, here a rounded value.
+    tested = parts.select(*names, t.alias("t"), dof.alias("dof"))
+    tested = tested.withColumn("p_value", t_two_sided_p(c("t"), c("dof")))
+    return tested.select(*[c(n) if n.startswith("n") else F.round(n, PLACES).alias(n) for n in tested.columns])
 
 
 def t_two_sided_p(t: Column, dof: Column, steps: int = 4000) -> Column:

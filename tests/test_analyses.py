@@ -1,6 +1,7 @@
 import math
 from datetime import datetime
 
+import numpy as np
 import pytest
 from builders import one, order, rows_of, tables
 from pyspark.sql import functions as F
@@ -63,6 +64,21 @@ def test_welch(spark):
     assert row["dof"] == pytest.approx(se**2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)), abs=1e-4)
 
 
+def test_welch_p_value_comes_from_unrounded_statistics(spark):
+    """Where rounding mean and variance to four places moves p: against a plain integral of the density."""
+    rng = np.random.default_rng(5)
+    rows = [(1, float(x)) for x in rng.integers(1, 6, 413)] + [(0, float(x)) for x in rng.integers(1, 6, 1074)]
+    row = one(stats.welch_ttest(spark.createDataFrame(rows, "g int, v double"), "v", "g"))
+    a, b = (np.array([v for g, v in rows if g == code]) for code in (1, 0))
+    sa, sb = a.var(ddof=1) / len(a), b.var(ddof=1) / len(b)
+    t = (a.mean() - b.mean()) / math.sqrt(sa + sb)
+    dof = (sa + sb) ** 2 / (sa**2 / (len(a) - 1) + sb**2 / (len(b) - 1))
+    x = np.linspace(0.0, 60.0, 2_000_001)
+    density = np.exp(-(dof + 1) / 2 * np.log1p(x * x / dof))
+    assert row["t"] == round(t, 4) and row["dof"] == round(dof, 4)
+    assert row["p_value"] == round(density[x >= abs(t)].sum() / density.sum(), 4)
+
+
 @pytest.mark.parametrize(
     ("t", "dof", "p"), [(0.0, 5, 1.0), (2.571, 5, 0.05), (12.706, 1, 0.05), (1.96, 1e7, 0.05), (3.169, 10, 0.01)]
 )

@@ -6,9 +6,9 @@ import pytest
 
 import __spark_entry__ as entry
 from check_queries import database, difference
+from storelens.plans.oracle import ORACLE
+from storelens.plans.queries import QUERIES
 
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
 ROWS_ONLY = {
     "model_compare",
     "model_tuning",
@@ -16,7 +16,6 @@ ROWS_ONLY = {
     "order_risk_scores",
     "rfm_kmeans",
     "rfm_kmeans_profile",
-    "rfm_sample",
 }
 
 
@@ -28,6 +27,7 @@ def con(star_dir):
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

@@ -91,9 +91,9 @@ def test_qcut_merges_bins_that_coincide(spark):
 
 
 def test_fixed_bins_leave_outside_values_null(spark):
-    df = spark.createDataFrame([(v,) for v in (0, 1, 2, 3, 100, 101)], "f int")
+    df = spark.createDataFrame([(v,) for v in (0, 1, 2, 3, 100, 101, 5000)], "f int")
     scored = df.select(bin_fixed(F.col("f"), customers.FREQUENCY_EDGES, customers.FREQUENCY_SCORES).alias("s"))
-    assert [x["s"] for x in scored.collect()] == [None, 1, 3, 5, 5, None]
+    assert [x["s"] for x in scored.collect()] == [None, 1, 3, 5, 5, 5, 5]
 
 
 def test_moving_means(spark):

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, langid, maxent, mixing, nn_descent, packing, quality_rules, secrets, simhash, url_rules
+from . import (
+    kneser_ney,
+    langid,
+    maxent,
+    mixing,
+    negatives,
+    nn_descent,
+    packing,
+    quality_rules,
+    secrets,
+    sharding,
+    simhash,
+    url_rules,
+    whitening,
+)
 from .common import table
 
 #: Where the vocabulary of the packing query lies; only a path, the file is never copied.
@@ -60,6 +74,24 @@ def apply_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule", "rule_text")
 
 
+def whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    size, digest = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), digest.alias("text_crc32"))
+    return sharding.shard(rows).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def mine_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    mined = negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES = {
     "op1_mix_sources": mix_sources,
     "op2_score_text": score_text,
@@ -71,6 +103,9 @@ QUERIES = {
     "op8_group_by_simhash": group_by_simhash,
     "op9_group_embeddings": group_embeddings,
     "op10_quality_rules": apply_quality_rules,
+    "op11_whiten_embeddings": whiten_embeddings,
+    "op12_shard_documents": shard_documents,
+    "op13_mine_hard_negatives": mine_hard_negatives,
 }
 
 _URL_SQL = """
@@ -116,5 +151,62 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLE = {"op1_mix_sources": _MIX_SQL, "op7_filter_urls": _URL_SQL}
+_NEGATIVES_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: coalesce(NOT isfinite(c), true))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i]))::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+), positive AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank,
+  s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY rank <= 5
+"""
+
+
+def _shard_sql() -> str:
+    """The permutation's rounds as nested selects; a recursive query walks the cycles."""
+    step = "SELECT number, n, high, low, v FROM walk WHERE first OR v >= n"
+    for r, key in enumerate(sharding.round_keys(sharding.SEED)):
+        a, b = ("high", "low") if r % 2 == 0 else ("low", "high")
+        mixed = f"(xor(v & ((1::HUGEINT << {b}) - 1), {key}) * {sharding.MULTIPLY[0]}) & {sharding.WORD}"
+        step = f"SELECT *, {mixed} AS h FROM ({step})"
+        step = f"SELECT *, (xor(h, h >> {sharding.SHIFTS[0]}) * {sharding.MULTIPLY[1]}) & {sharding.WORD} AS g FROM ({step})"
+        turned = f"xor(v >> {b}, xor(g, g >> {sharding.SHIFTS[1]}) & ((1::HUGEINT << {a}) - 1))"
+        step = f"SELECT number, n, high, low, ((v & ((1::HUGEINT << {b}) - 1)) << {a}) | {turned} AS v FROM ({step})"
+    return f"""
+WITH RECURSIVE table256 AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), texts AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+  FROM documents
+), hashed AS (
+  SELECT doc_id, len(bytes)::BIGINT + 1 AS size, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS number,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32
+  FROM texts, table256
+), widths AS (
+  SELECT n, bits - bits // 2 AS high, bits // 2 AS low
+  FROM (SELECT count(*) AS n, greatest(2, length(ltrim(bin(greatest(count(*) - 1, 0)), '0'))) AS bits FROM documents)
+), walk(number, n, high, low, v, first) AS (
+  SELECT number, n::HUGEINT, high::INTEGER, low::INTEGER, number::HUGEINT, true FROM hashed, widths
+  UNION ALL
+  SELECT number, n, high, low, v, false FROM ({step})
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (v % {sharding.SHARDS})::INTEGER AS shard, (v // {sharding.SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM hashed JOIN walk USING (number) WHERE NOT first AND v < n
+"""
+
+
+ORACLE = {"op12_shard_documents": _shard_sql(), "op13_mine_hard_negatives": _NEGATIVES_SQL, "op1_mix_sources": _MIX_SQL, "op7_filter_urls": _URL_SQL}
 

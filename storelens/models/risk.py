@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import product
 
-from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import PLACES, ratio, rows_where
+from storelens.models import forest
+from storelens.models.curves import roc_auc
 from storelens.models.features import (
     CATEGORY,
     LABEL,
@@ -26,17 +27,15 @@ from storelens.models.features import (
     top_categories,
     with_weights,
 )
+from storelens.models.forest import FOREST_ROWS, Forest
+from storelens.session import materialize
 
-# Depth 30 is Spark's limit and stands for "no limit".
-UNLIMITED_DEPTH = 30
-# The tuning grid.
-FULL_GRID = {"numTrees": (200, 400), "maxDepth": (UNLIMITED_DEPTH, 10, 20), "minInstancesPerNode": (1, 5)}
+# The tuning grid; None is no limit of depth.
+FULL_GRID = {"numTrees": (200, 400), "maxDepth": (None, 10, 20), "minInstancesPerNode": (1, 5)}
 # Fixed value: the default penalty of the logistic regressions.
 L2_STRENGTH = 1.0
-SEED = 42
-PARTITION_ROWS = 50_000
-#: About so many training rows are enough for the search; the best settings are refitted on all.
-SEARCH_ROWS = 3_000
+#: The rows' id, whose order and hash decide what a forest draws.
+KEY = "order_id"
 
 
 def _quoted(text: str) -> str:
@@ -124,70 +123,73 @@ def fit_lr(
     return Pipeline(stages=[*stages, lr]).fit(train)
 
 
-def _forest(params: Mapping[str, int]) -> RandomForestClassifier:
-    return RandomForestClassifier(
-        featuresCol="features", labelCol=LABEL, weightCol="weight", seed=SEED, **params
-    )
+@dataclass(frozen=True)
+class RiskForest:
+    """A forest on unscaled features, with the encoding it was learnt with."""
+
+    forest: Forest
+    encoding: Encoding
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``probability_low`` and ``prediction``."""
+        scored = df.withColumn("probability_low", self.forest.probability(df.sparkSession, feature_array(self.encoding)))
+        return scored.withColumn("prediction", (F.col("probability_low") > 0.5).cast("double"))
+
 
+def feature_array(encoding: Encoding) -> Column:
+    """The features of a row, in the order of ``feature_names``."""
+    numeric = [F.col(c).cast("double") for c in NUMERIC_V2]
+    return F.array(*numeric, *[F.expr(f"CASE WHEN {i.test} THEN 1D ELSE 0D END") for i in encoding.indicators()])
 
-def fit_rf(train: DataFrame, encoding: Encoding, params: Mapping[str, int] | None = None) -> PipelineModel:
-    """Balanced random forest on unscaled features."""
-    forest = _forest(params or {"numTrees": 200, "maxDepth": UNLIMITED_DEPTH})
-    train = train.repartition(max(1, -(-train.count() // PARTITION_ROWS)))
-    return Pipeline(stages=[*_encoded(encoding, scaled=False), forest]).fit(with_weights(train))
+
+def grown_nodes(train: DataFrame, encoding: Encoding, trees: int, depth: int | None, leaf: int, rows: int = FOREST_ROWS) -> DataFrame:
+    """The trees of a balanced forest, stored: one row per tree."""
+    return materialize(forest.grow(train, feature_array(encoding), LABEL, KEY, trees=trees, max_depth=depth, min_leaf=leaf, rows=rows))
+
+
+def fit_rf(train: DataFrame, encoding: Encoding, params: Mapping[str, int | None] | None = None, rows: int = FOREST_ROWS) -> RiskForest:
+    """Balanced random forest on unscaled features; 200 trees without a depth limit unless ``params`` say otherwise."""
+    p = {"numTrees": 200, "maxDepth": None, "minInstancesPerNode": 1} | dict(params or {})
+    nodes = grown_nodes(train, encoding, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], rows)
+    return RiskForest(Forest.collect(nodes, len(feature_names(encoding))), encoding)
 
 
 @dataclass(frozen=True)
 class Tuned:
     """The refitted best forest, its settings, and the score of every grid point."""
 
-    model: PipelineModel
-    params: dict[str, int]
+    model: RiskForest
+    params: dict[str, int | None]
     scores: DataFrame
 
 
 def tune_rf(
     train: DataFrame,
     encoding: Encoding,
-    grid: Mapping[str, Sequence[int]] = FULL_GRID,
+    grid: Mapping[str, Sequence[int | None]] = FULL_GRID,
     folds: int = 3,
-    parallelism: int = 8,
-    search_rows: int = SEARCH_ROWS,
+    rows: int = FOREST_ROWS,
 ) -> Tuned:
-    """Grid search by cross-validated recall of the low-review class.
-
-    The search tries every point of the grid on a bounded sample of the training rows, about
-    ``search_rows`` chosen by a hash of the order; the best point is then fitted on all of them.
-    Folds come from the ``fold`` column of the stratified split. Features are assembled
-    once for the whole search, in partitions of about ``PARTITION_ROWS`` rows: every pass of a
-    forest sends the statistics of its nodes from each partition, so few full ones beat many
-    small ones, and ``parallelism`` forests grow side by side.
+    """Grid search by cross-validated recall of the low-review class, over the whole grid.
+
+    For each leaf size and fold one forest is grown, of the most trees and without a depth limit; all
+    other grid points are parts of it (``models/forest.py``). Folds come from the ``fold`` column of
+    the stratified split. Of equal scores the first grid point counts. The best point is refitted on
+    all training rows, at most about ``rows`` of them.
     """
-    prepare = Pipeline(stages=_encoded(encoding, scaled=False)).fit(train)
-    total = train.count()
-    some = train if total <= search_rows else train.filter(F.pmod(F.xxhash64("order_id"), F.lit(total)) < search_rows)
-    ready = prepare.transform(with_weights(some)).select("features", LABEL, "weight", "fold")
-    ready = ready.repartition(max(1, -(-min(total, search_rows) // PARTITION_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
-    forest = _forest({})
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(getattr(forest, name), list(values))
-    recall = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="recallByLabel", metricLabel=1.0)
-    search = CrossValidator(
-        estimator=forest,
-        estimatorParamMaps=builder.build(),
-        evaluator=recall,
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    ).fit(ready)
-    ready.unpersist()
-    best = max(range(len(search.avgMetrics)), key=lambda i: search.avgMetrics[i])
-    points = [{p.name: v for p, v in point.items()} for point in search.getEstimatorParamMaps()]
+    votes = forest.grid_votes(
+        train, feature_array(encoding), LABEL, KEY,
+        trees=grid["numTrees"], depths=grid["maxDepth"], leaves=grid["minInstancesPerNode"], folds=folds, rows=rows,
+    )
+    # One row per grid point.
+    found = {(r["trees"], r["depth"], r["leaf"]): r["cv_recall"] for r in forest.recalls(votes).collect()}
     names = list(grid)
-    rows = [(*[point[n] for n in names], float(m)) for point, m in zip(points, search.avgMetrics, strict=True)]
-    scores = train.sparkSession.createDataFrame(rows, ", ".join([f"{n} long" for n in names] + ["cv_recall double"]))
-    return Tuned(fit_rf(train, encoding, points[best]), points[best], scores)
+    points = [dict(zip(names, values, strict=True)) for values in product(*grid.values())]
+    score = lambda p: found[p["numTrees"], -1 if p["maxDepth"] is None else p["maxDepth"], p["minInstancesPerNode"]]
+    best = max(points, key=score)
+    data = [(*[p[n] for n in names], float(score(p))) for p in points]
+    scores = train.sparkSession.createDataFrame(data, ", ".join([f"{n} long" for n in names] + ["cv_recall double"]))
+    return Tuned(fit_rf(train, encoding, best, rows), best, scores)
 
 
 # --- evaluation -------------------------------------------------------------------------
@@ -198,23 +200,35 @@ def confusion(predictions: DataFrame, label: str = LABEL, prediction: str = "pre
 
 
 def class_report(predictions: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
-    """Precision, recall, F1 and support for each class."""
-    cells = confusion(predictions, label, prediction)
+    """Precision, recall, F1 and support of each class, of their plain mean, and of their mean by support.
 
-    def row(code: int) -> DataFrame:
-        hit = F.sum(F.when((F.col(label) == code) & (F.col(prediction) == code), F.col("orders")))
-        said = F.sum(F.when(F.col(prediction) == code, F.col("orders")))
-        real = F.sum(F.when(F.col(label) == code, F.col("orders")))
-        hit = F.coalesce(hit, F.lit(0))
-        return cells.agg(
-            F.lit(code).alias("class"),
-            ratio(hit, said).alias("precision"),
-            ratio(hit, real).alias("recall"),
-            ratio(2 * hit, said + real).alias("f1"),
-            real.alias("support"),
-        )
-
-    return row(0).unionByName(row(1))
+    A class that is never predicted, or has no rows, counts as 0 in the means.
+    """
+    cells = confusion(predictions, label, prediction)
+    known = F.col(label).isin(0, 1) & F.col(prediction).isin(0, 1)
+    counts = cells.filter(known).select(
+        F.col(label).cast("int").alias("real"), F.col(prediction).cast("int").alias("said"), "orders"
+    )
+    # At most two rows from here on.
+    sides = counts.select(F.explode(F.array(
+        F.struct(F.col("real").alias("class"), F.lit(0).alias("claimed"), F.col("orders").alias("support"), F.lit(0).alias("hits")),
+        F.struct(F.col("said").alias("class"), F.col("orders").alias("claimed"), F.lit(0).alias("support"), F.when(F.col("real") == F.col("said"), F.col("orders")).otherwise(0).alias("hits")),
+    )).alias("s")).select("s.*")
+    codes = predictions.sparkSession.range(2).select(F.col("id").cast("int").alias("class"))
+    per_class = codes.join(F.broadcast(sides.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("claimed", "support", "hits")])), "class", "left").na.fill(0)
+    share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    hits, claimed, support = F.col("hits"), F.col("claimed"), F.col("support")
+    scores = {"precision": share(hits, claimed), "recall": share(hits, support), "f1": share(2 * hits, claimed + support)}
+    rows = per_class.select(F.col("class").cast("string").alias("class"), *[s.alias(n) for n, s in scores.items()], "support")
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0.0))
+    plain = rows.agg(F.lit("macro avg").alias("class"), *[F.avg(zero(n)).alias(n) for n in scores], F.sum("support").alias("support"))
+    weighted = rows.agg(
+        F.lit("weighted avg").alias("class"),
+        *[share(F.sum(zero(n) * F.col("support")), F.sum("support")).alias(n) for n in scores],
+        F.sum("support").alias("support"),
+    )
+    every = rows.unionByName(plain).unionByName(weighted)
+    return every.select("class", *[F.round(n, PLACES).alias(n) for n in scores], "support")
 
 
 def evaluate(
@@ -229,16 +243,14 @@ def evaluate(
     hits, claimed, actual = rows_where(said & real), rows_where(said), rows_where(real)
     auc = None
     if score is not None:
-        scored = predictions.select(F.col(label).cast("double").alias("y"), F.col(score).cast("double").alias("s"))
-        curve = BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", numBins=0)
-        auc = round(curve.evaluate(scored), PLACES)
+        auc = roc_auc(predictions, label, score)
     return predictions.agg(
         F.lit(name).alias("model"),
         ratio(rows_where(said == real), F.count(F.lit(1))).alias("accuracy"),
         ratio(hits, claimed).alias("precision"),
         ratio(hits, actual).alias("recall"),
         ratio(2 * hits, claimed + actual).alias("f1"),
-        F.lit(auc).cast("double").alias("roc_auc"),
+        F.round(F.lit(auc).cast("double"), PLACES).alias("roc_auc"),
     )
 
 
@@ -254,10 +266,9 @@ def choose(models: DataFrame, metrics: Sequence[str] = ("f1", "roc_auc")) -> Dat
     return models.orderBy(*[F.col(m).desc_nulls_last() for m in metrics], "model").limit(1)
 
 
-def importances(model: PipelineModel, names: Sequence[str], spark, k: int = 10) -> DataFrame:
+def importances(model: RiskForest, names: Sequence[str], spark: SparkSession, k: int = 10) -> DataFrame:
     """The ``k`` most important features of a fitted forest."""
-    weights = model.stages[-1].featureImportances.toArray()
-    rows = [(n, float(w)) for n, w in zip(names, weights, strict=True)]
+    rows = [(n, float(w)) for n, w in zip(names, model.forest.importances(), strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     ).limit(k)
@@ -265,12 +276,16 @@ def importances(model: PipelineModel, names: Sequence[str], spark, k: int = 10)
 
 # --- scoring ------------------------------------------------------------------------------
 
+RiskModel = PipelineModel | RiskForest
+
 
-def with_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
+def with_probability(model: RiskModel, df: DataFrame) -> DataFrame:
+    if isinstance(model, RiskForest):
+        return model.transform(df)
     return model.transform(df).withColumn("probability_low", vector_to_array("probability")[1])
 
 
-def score_orders(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
+def score_orders(model: RiskModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Probability of a low review per order, and whether it reaches the threshold."""
     scored = with_probability(model, df)
     return scored.select(
@@ -280,10 +295,26 @@ def score_orders(model: PipelineModel, df: DataFrame, threshold: float = 0.5) ->
     )
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Encoding, scaler, assembler and classifier in one artifact."""
-    model.write().overwrite().save(path)
+def save_model(model: RiskModel, path: str, spark: SparkSession | None = None) -> None:
+    """Encoding, scaler, assembler and classifier in one artifact; a forest as its encoding and its trees."""
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(path)
+        return
+    spark = spark or SparkSession.active()
+    e, f = model.encoding, model.forest
+    learnt = spark.createDataFrame([(list(e.top), list(e.categories), list(e.payments), f.features)], _LEARNT)
+    learnt.write.mode("overwrite").parquet(f"{path}/encoding")
+    spark.createDataFrame(f.to_rows(), forest.NODES).write.mode("overwrite").parquet(f"{path}/trees")
+
+
+_LEARNT = "top array<string>, categories array<string>, payments array<string>, features int"
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str, spark: SparkSession | None = None) -> RiskModel:
+    spark = spark or SparkSession.active()
+    try:
+        learnt = spark.read.schema(_LEARNT).parquet(f"{path}/encoding").head()
+    except AnalysisException:  # no forest
+        return PipelineModel.load(path)
+    encoding = Encoding(*[tuple(learnt[c]) for c in ("top", "categories", "payments")])
+    return RiskForest(Forest.collect(spark.read.schema(forest.NODES).parquet(f"{path}/trees"), learnt["features"]), encoding)

@@ -92,18 +92,27 @@ def global_ntile(
     return ranked.withColumn(name, ntile_of(F.col("rn"), F.col("n"), k)).drop("rn", "n")
 
 
-def _stored_values(
-    df: DataFrame, value: str, descending: bool, buckets: int | None
-) -> DataFrame:
-    """Distinct non-null values with their row counts, stored in value order.
+def _value_counts(df: DataFrame, value: str) -> DataFrame:
+    """Distinct non-null values with their row counts: a value shared by many rows becomes a single row."""
+    return df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
 
-    Grouping first collapses a value shared by many rows into a single row.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(
-        F.count(F.lit(1)).alias("rows")
+
+def _stored_values(df: DataFrame, value: str, buckets: int | None) -> DataFrame:
+    """Distinct values with their counts, stored in value order."""
+    return _range_stored(_value_counts(df, value), [F.col("value").asc()], buckets)
+
+
+def running_sums(df: DataFrame, key: Column, names: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """``df``, whose ``key`` is unique, with ``<name>_cum`` (running sum in key order) and ``<name>_total``."""
+    stored = _range_stored(df, [key], buckets)
+    prefix = _with_prefix(stored.groupBy("_bucket").agg(*[F.sum(n).alias(n) for n in names]), names)
+    running = Window.partitionBy("_bucket").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = stored.select("*", *[F.sum(n).over(running).alias(f"{n}_inside") for n in names])
+    return local.join(F.broadcast(prefix), "_bucket").select(
+        *df.columns,
+        *[(F.col(f"{n}_before") + F.col(f"{n}_inside")).alias(f"{n}_cum") for n in names],
+        *[f"{n}_total" for n in names],
     )
-    key = F.col("value").desc() if descending else F.col("value").asc()
-    return _range_stored(counts, [key], buckets)
 
 
 def cumulative_values(
@@ -114,26 +123,13 @@ def cumulative_values(
     ``cum_sum`` includes every row sharing the value, as an ordered SQL window with the
     default RANGE frame does.
     """
-    stored = _stored_values(df, value, descending, buckets).withColumn(
-        "amount", F.col("value") * F.col("rows")
-    )
-    sizes = stored.groupBy("_bucket").agg(F.sum("rows").alias("rows"), F.sum("amount").alias("amount"))
-    prefix = _with_prefix(sizes, ["rows", "amount"])
-    running = Window.partitionBy("_bucket").orderBy("_row").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    local = stored.select(
-        "_bucket",
-        "value",
-        "rows",
-        F.sum("rows").over(running).alias("_rows"),
-        F.sum("amount").over(running).alias("_amount"),
-    )
-    return local.join(F.broadcast(prefix), "_bucket").select(
+    counts = _value_counts(df, value).withColumn("amount", F.col("value") * F.col("rows"))
+    key = F.col("value").desc() if descending else F.col("value").asc()
+    return running_sums(counts, key, ["rows", "amount"], buckets).select(
         "value",
         "rows",
-        (F.col("rows_before") + F.col("_rows")).cast("long").alias("cum_rows"),
-        (F.col("amount_before") + F.col("_amount")).alias("cum_sum"),
+        F.col("rows_cum").cast("long").alias("cum_rows"),
+        F.col("amount_cum").alias("cum_sum"),
         F.col("rows_total").cast("long").alias("n"),
         F.col("amount_total").alias("total"),
     )
@@ -147,7 +143,7 @@ def quantiles(
     Only the buckets holding the wanted positions are scanned; the driver sees bucket
     sizes and at most two values per probability.
     """
-    stored = _stored_values(df, column, False, buckets)
+    stored = _stored_values(df, column, buckets)
     sizes = sorted(
         (r["_bucket"], r["rows"])
         for r in stored.groupBy("_bucket").agg(F.sum("rows").alias("rows")).collect()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, ShortType
 
-from storelens.models import clusters, risk
+from storelens.models import clusters, curves, risk
 from storelens.models import features as feats
 from storelens.operators import audit, customers, descriptive, diagnostic, kpi, mart
 from storelens.plans import views
@@ -100,17 +100,20 @@ def _tuned(spark: SparkSession, sf_dir: str) -> tuple[risk.Tuned, risk.Encoding]
 def _model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(spark, sf_dir)
     tuned, encoding = _tuned(spark, sf_dir)
+    # The untuned forest is part of the tuned one if that has its leaf size and depth.
+    grown = tuned.params["minInstancesPerNode"] == 1 and tuned.params["maxDepth"] is None
+    baseline = risk.RiskForest(tuned.model.forest.first(200), encoding) if grown else risk.fit_rf(train, encoding)
     fitted = {
         # The names of the compared models.
         "Logistic Regression (baseline)": risk.fit_lr(train),
         "Logistic Regression (balanced)": risk.fit_lr(train, encoding, balanced=True),
-        "Random Forest (baseline)": risk.fit_rf(train, encoding),
+        "Random Forest (baseline)": baseline,
         "Random Forest (tuned)": tuned.model,
     }
-    rows = [
-        risk.evaluate(risk.with_probability(model, test), name, score="probability_low")
-        for name, model in fitted.items()
-    ]
+    rows = []
+    for name, model in fitted.items():
+        scored = materialize(risk.with_probability(model, test).select(feats.LABEL, "prediction", "probability_low"))
+        rows.append(risk.evaluate(scored, name, score="probability_low"))
     return risk.compare(rows)
 
 
@@ -356,6 +359,7 @@ QUERIES: dict[str, Query] = {
     "rule_choice": _on_tables(_rule_choice),
     "class_weights": _on_tables(lambda t: feats.class_weights(_feature_rows(t))),
     "model_metrics": _on_tables(_rule_metrics),
+    "threshold_sweep": _on_tables(lambda t: curves.threshold_sweep(_late_rule(t), feats.LABEL, "delivery_delay_days")),
     "class_report": _on_tables(lambda t: risk.class_report(_late_rule(t), prediction="is_late")),
     "model_compare": _model_compare,
     "model_tuning": _model_tuning,

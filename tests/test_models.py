@@ -1,9 +1,11 @@
+import numpy as np
 import pytest
 from builders import one, rows_of
 from pyspark.sql import functions as F
 
-from storelens.models import clusters, risk
+from storelens.models import clusters, curves, risk
 from storelens.models import features as feats
+from storelens.models import forest as forests
 from storelens.operators.mart import order_mart
 from storelens.session import materialize
 
@@ -27,7 +29,7 @@ def test_rows(split):
 @pytest.fixture(scope="module")
 def forest(train):
     encoding = risk.Encoding.learn(train)
-    return risk.fit_rf(train, encoding, {"numTrees": 20, "maxDepth": 6}), encoding
+    return risk.fit_rf(train, encoding, {"numTrees": 25, "maxDepth": 6}), encoding
 
 
 def test_split_is_exact_per_label_and_repeatable(star, split):
@@ -94,7 +96,34 @@ def test_metrics_of_known_predictions(spark):
     row = one(risk.evaluate(df, "m"))
     assert (row["accuracy"], row["precision"], row["recall"], row["f1"]) == (0.7, 0.75, 0.6, 0.6667)
     report = {x["class"]: x.asDict() for x in risk.class_report(df).collect()}
-    assert report[0]["precision"] == 0.6667 and report[0]["support"] == 5
+    assert report["0"]["precision"] == 0.6667 and report["0"]["support"] == 5
+    assert report["macro avg"]["precision"] == round((2 / 3 + 0.75) / 2, 4) and report["macro avg"]["support"] == 10
+    assert report["weighted avg"]["recall"] == round((0.8 * 5 + 0.6 * 5) / 10, 4)
+
+
+def test_report_of_one_class_only(spark):
+    df = spark.createDataFrame([(1, 0)] * 3 + [(None, 1), (1, None)], "is_low_review int, prediction int")
+    report = {x["class"]: x.asDict() for x in risk.class_report(df).collect()}
+    assert report["1"] == {"class": "1", "precision": None, "recall": 0.0, "f1": 0.0, "support": 3}
+    assert report["0"]["support"] == 0 and report["0"]["precision"] == 0.0 and report["weighted avg"]["recall"] == 0.0
+    empty = {x["class"]: x.asDict() for x in risk.class_report(df.limit(0)).collect()}
+    assert set(empty) == {"0", "1", "macro avg", "weighted avg"} and empty["weighted avg"]["f1"] is None
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_sweep_and_auc_equal_counting_pairs(spark, buckets):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.random() < 0.3), float(rng.integers(0, 12))) for _ in range(500)] + [(None, 1.0), (1, None)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    known = [(y, s) for y, s in rows if y is not None and s is not None]
+    pos, neg = [s for y, s in known if y == 1], [s for y, s in known if y == 0]
+    pairs = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
+    assert curves.roc_auc(df, "y", "s", buckets) == pairs / (len(pos) * len(neg))
+    for r in curves.threshold_sweep(df, "y", "s", buckets).collect():
+        said = [y for y, s in known if s >= r["threshold"]]
+        assert (r["predicted"], r["hits"]) == (len(said), sum(said))
+        assert r["recall"] == round(sum(said) / len(pos), 4) and r["precision"] == round(sum(said) / len(said), 4)
+    assert curves.roc_auc(df.filter("y = 1"), "y", "s") is None and curves.roc_auc(df.limit(0), "y", "s") is None
 
 
 def test_choice_by_named_metrics(spark):
@@ -112,7 +141,7 @@ def test_forest_beats_chance_and_delay_matters_most(spark, forest, test_rows):
     names = risk.feature_names(encoding)
     top = risk.importances(model, names, spark).collect()
     assert top[0]["feature"] == "delivery_delay_days"
-    assert len(names) == model.stages[-1].numFeatures
+    assert len(names) == model.forest.features and sum(model.forest.importances()) == pytest.approx(1)
 
 
 def test_logistic_models_fit_and_balancing_raises_recall(train, test_rows):
@@ -128,6 +157,7 @@ def test_saved_model_scores_identically_and_takes_unseen_categories(tmp_path, fo
     risk.save_model(model, path)
     loaded = risk.load_model(path)
     assert sorted(rows_of(risk.score_orders(model, test_rows))) == sorted(rows_of(risk.score_orders(loaded, test_rows)))
+    assert isinstance(loaded, risk.RiskForest) and (loaded.forest.importances() == model.forest.importances()).all()
     odd = test_rows.withColumns({feats.CATEGORY: F.lit("it's new"), "payment_type": F.lit("pix")})
     assert risk.score_orders(loaded, odd).count() == test_rows.count()
 
@@ -144,15 +174,90 @@ def test_quoted_category_names_are_safe(train):
     assert hits == renamed.filter("order_dow_num <= 2").count()
 
 
+def test_saved_regressions_score_identically(tmp_path, train, test_rows):
+    model = risk.fit_lr(train)
+    risk.save_model(model, str(tmp_path / "lr"))
+    loaded = risk.load_model(str(tmp_path / "lr"))
+    assert sorted(rows_of(risk.score_orders(model, test_rows))) == sorted(rows_of(risk.score_orders(loaded, test_rows)))
+
+
 def test_grid_search_returns_the_best_point(train):
     encoding = risk.Encoding.learn(train)
-    grid = {"numTrees": (3, 5), "maxDepth": (2,), "minInstancesPerNode": (1,)}
+    grid = {"numTrees": (3, 5), "maxDepth": (None, 2), "minInstancesPerNode": (1, 4)}
     tuned = risk.tune_rf(train, encoding, grid)
-    scores = {x["numTrees"]: x["cv_recall"] for x in tuned.scores.collect()}
-    assert set(scores) == {3, 5} and scores[tuned.params["numTrees"]] == max(scores.values())
+    scores = {(x["numTrees"], x["maxDepth"], x["minInstancesPerNode"]): x["cv_recall"] for x in tuned.scores.collect()}
+    assert len(scores) == 8 and scores[tuple(tuned.params.values())] == max(scores.values())
+    assert len(tuned.model.forest.trees) == tuned.params["numTrees"]
     assert tuned.model.transform(train).count() == train.count()
 
 
+def test_grid_scores_are_those_of_forests_fitted_alone(train):
+    """The claim behind the shared growth: prefixes and cuts of one forest are the smaller forests."""
+    encoding = risk.Encoding.learn(train)
+    grid = {"numTrees": (3, 12), "maxDepth": (2, 5, None), "minInstancesPerNode": (1, 3)}
+    found = {(x["numTrees"], x["maxDepth"], x["minInstancesPerNode"]): x["cv_recall"] for x in risk.tune_rf(train, encoding, grid).scores.collect()}
+    names = ["x", "y", "fold"]
+    rows = train.orderBy("order_id").select(risk.feature_array(encoding).alias("x"), F.col("is_low_review").alias("y"), "fold").collect()
+    x, y, fold = (np.array([r[n] for r in rows]) for n in names)
+    edges = forests.bin_edges(x)
+    bins = forests.binned(x, edges)
+    for (trees, depth, leaf), recall in found.items():
+        recalls = []
+        for out in range(3):
+            rest, held = fold != out, fold == out
+            alone = [forests.grow_tree(bins[rest], y[rest], edges, t, min_leaf=leaf, max_depth=depth) for t in range(trees)]
+            said = forests.Forest(tuple(alone), x.shape[1]).predict(x[held]) > 0.5
+            recalls.append((said & (y[held] == 1)).sum() / (y[held] == 1).sum())
+        assert recall == pytest.approx(np.mean(recalls), abs=1e-12)
+
+
+def test_tree_splits_are_the_best_of_all():
+    """With every feature tried, the root's split is the one an exhaustive search finds."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((200, 1)) * 20)
+    y = (x[:, 0] + rng.normal(size=200) * 4 > 11).astype(int)
+    edges = forests.bin_edges(x)
+    tree = forests.grow_tree(forests.binned(x, edges), y, edges, 0, max_depth=1)
+    counts = np.bincount(np.random.default_rng([forests.SEED, 0]).integers(0, 200, 200), minlength=200)
+    w = counts * np.where(y == 1, 200 / 2 / y.sum(), 200 / 2 / (200 - y.sum()))
+
+    def impurity(mask):
+        a, b = w[mask & (y == 0)].sum(), w[mask & (y == 1)].sum()
+        return 2 * a * b / (a + b) if a + b else 0.0
+
+    best = min(edges[0], key=lambda e: impurity(x[:, 0] <= e) + impurity(x[:, 0] > e))
+    assert tree.threshold[0] == best and tree.feature.tolist() == [0, -1, -1]
+    right = x[:, 0] > best
+    assert tree.value[2] == pytest.approx(w[right & (y == 1)].sum() / w[right].sum(), rel=1e-6)
+
+
+def test_leaf_size_single_class_and_no_rows():
+    rng = np.random.default_rng(5)
+    x, y = rng.random((300, 4)), rng.integers(0, 2, 300)
+    edges = forests.bin_edges(x)
+    bins = forests.binned(x, edges)
+    tree = forests.grow_tree(bins, y, edges, 1, min_leaf=7)
+    drawn = np.unique(np.random.default_rng([forests.SEED, 1]).integers(0, 300, 300))
+    at = np.zeros(len(drawn), int)
+    for _ in range(40):
+        inner = tree.feature[at] >= 0
+        f, row = tree.feature[at], x[drawn]
+        at = np.where(inner, tree.left[at] + (row[np.arange(len(row)), np.maximum(f, 0)] > tree.threshold[at]), at)
+    sizes = np.bincount(at)
+    assert sizes[sizes > 0].min() >= 7
+    assert len(forests.grow_tree(bins, np.ones(300, int), edges, 0).feature) == 1
+    none = forests.grow_tree(np.zeros((0, 4), np.uint8), np.zeros(0, int), forests.bin_edges(x[:0]), 0)
+    assert none.feature.tolist() == [-1] and none.value.tolist() == [0.0]
+
+
+def test_bounded_training_rows(train):
+    encoding = risk.Encoding.learn(train)
+    small = risk.fit_rf(train, encoding, {"numTrees": 2}, rows=200)
+    again = risk.fit_rf(train.repartition(7), encoding, {"numTrees": 2}, rows=200)
+    assert len(small.forest.trees[0].feature) < 2 * 300
+    assert all((a.threshold == b.threshold).all() for a, b in zip(small.forest.trees, again.forest.trees, strict=True))
+
+
 def test_cluster_names(spark):
     rows = [(0, 10, 100.0, 1.0, 50.0), (1, 5, 200.0, 1.0, 900.0), (2, 7, 150.0, 2.1, 60.0), (3, 9, 300.0, 1.0, 55.0)]
     columns = "cluster int, customers long, avg_recency double, avg_frequency double, avg_monetary double"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,23 +100,24 @@ def _tuned(spark: SparkSession, sf_dir: str) -> tuple[risk.Tuned, risk.Encoding]
 
 
 def _model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four models on the test rows; their jobs run side by side."""
     train, test = _split(spark, sf_dir)
-    tuned, encoding = _tuned(spark, sf_dir)
-    # The untuned forest is part of the tuned one if that has its leaf size and depth.
-    grown = tuned.params["minInstancesPerNode"] == 1 and tuned.params["maxDepth"] is None
-    baseline = risk.RiskForest(tuned.model.forest.first(200), encoding) if grown else risk.fit_rf(train, encoding)
-    fitted = {
+    encoding = risk.Encoding.learn(train)
+    fits = {
         # The names of the compared models.
-        "Logistic Regression (baseline)": risk.fit_lr(train),
-        "Logistic Regression (balanced)": risk.fit_lr(train, encoding, balanced=True),
-        "Random Forest (baseline)": baseline,
-        "Random Forest (tuned)": tuned.model,
+        "Logistic Regression (baseline)": lambda: risk.fit_lr(train),
+        "Logistic Regression (balanced)": lambda: risk.fit_lr(train, encoding, balanced=True),
+        "Random Forest (baseline)": lambda: risk.fit_rf(train, encoding),
+        "Random Forest (tuned)": lambda: _tuned(spark, sf_dir)[0].model,
     }
-    rows = []
-    for name, model in fitted.items():
-        scored = materialize(risk.with_probability(model, test).select(feats.LABEL, "prediction", "probability_low"))
-        rows.append(risk.evaluate(scored, name, score="probability_low"))
-    return risk.compare(rows)
+
+    def judged(name: str) -> DataFrame:
+        scored = risk.with_probability(fits[name](), test).select(feats.LABEL, "prediction", "probability_low")
+        return risk.evaluate(materialize(scored), name, score="probability_low")
+
+    with ThreadPoolExecutor(len(fits)) as pool:
+        # Each thread keeps its tables in the surrounding store.
+        return risk.compare([f.result() for f in [pool.submit(copy_context().run, judged, name) for name in fits]])
 
 
 def _model_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:

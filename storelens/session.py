@@ -7,6 +7,7 @@ import uuid
 import weakref
 from collections.abc import Callable, Hashable
 from contextvars import ContextVar
+from threading import Lock
 from typing import Any
 
 from pyspark import StorageLevel
@@ -75,12 +76,14 @@ class Store:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/storelens-{uuid.uuid4().hex}"
         self.tables = 0
+        self._lock = Lock()
         self._cache: dict[Hashable, Any] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once to the store's folder and read it back."""
-        path = f"{self.folder}/{self.tables}"
-        self.tables += 1
+        with self._lock:
+            path = f"{self.folder}/{self.tables}"
+            self.tables += 1
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

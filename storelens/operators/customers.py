@@ -18,7 +18,7 @@ from storelens.functions.exprs import (
     total,
 )
 from storelens.operators.kpi import uses
-from storelens.operators.ranking import centred_mean, cumulative_values, global_ntile, qcut, quantile
+from storelens.operators.ranking import centred_mean, cumulative_values, ntiles, qcuts, quantile
 from storelens.operators.stats import describe, histogram
 
 PERSON = "customer_unique_id"
@@ -56,16 +56,14 @@ def rfm_base(mart: DataFrame, recency: str = "boundary") -> DataFrame:
 
 def rfm_ntile(rfm: DataFrame, k: int = 5, buckets: int | None = None) -> DataFrame:
     """Scores by equal-sized tiles; ties are split in order of the customer id."""
-    scored = global_ntile(rfm, [F.col("recency_days").desc()], PERSON, k, "r_score", buckets)
-    scored = global_ntile(scored, [F.col("frequency").asc()], PERSON, k, "f_score", buckets)
-    return global_ntile(scored, [F.col("monetary").asc()], PERSON, k, "m_score", buckets)
+    orders = {"r_score": ("recency_days", True), "f_score": ("frequency", False), "m_score": ("monetary", False)}
+    return ntiles(rfm, orders, PERSON, k, buckets)
 
 
 def rfm_quantile(rfm: DataFrame, k: int = 5) -> DataFrame:
     """Scores by quantile bins for recency and value, by fixed bins for frequency."""
-    scored = qcut(rfm, "recency_days", k, "r_score", descending=True)
-    scored = scored.withColumn("f_score", bin_fixed(F.col("frequency"), FREQUENCY_EDGES, FREQUENCY_SCORES))
-    return qcut(scored, "monetary", k, "m_score")
+    scored = qcuts(rfm, {"r_score": ("recency_days", True), "m_score": ("monetary", False)}, k)
+    return scored.withColumn("f_score", bin_fixed(F.col("frequency"), FREQUENCY_EDGES, FREQUENCY_SCORES))
 
 
 def rfm_segment(r: Column, f: Column) -> Column:

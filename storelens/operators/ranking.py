@@ -4,15 +4,16 @@ A rank, ntile or running total over all customers has no PARTITION BY, which Spa
 run in one task. Here rows are range-partitioned on the full sort key, sorted inside
 their partition and written once; the range bucket and the position inside it are stored
 with the row. Per-bucket sizes, at most one row per shuffle partition, then turn local
-positions into global ones.
+positions into global ones. Where only some positions are wanted, such as those of quantiles or the
+first rows of tiles, one such table serves several columns, and the rest of the rows never moves.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import bin_by_cuts
@@ -80,28 +81,11 @@ def ntile_of(rn: Column, n: Column, k: int) -> Column:
     return F.when(rn <= in_large, large_tile).otherwise(small_tile).cast("int")
 
 
-def global_ntile(
-    df: DataFrame,
-    order_cols: Sequence[Column],
-    unique_tiebreak: str,
-    k: int,
-    name: str,
-    buckets: int | None = None,
-) -> DataFrame:
-    ranked = global_rank(df, order_cols, unique_tiebreak, buckets)
-    return ranked.withColumn(name, ntile_of(F.col("rn"), F.col("n"), k)).drop("rn", "n")
-
-
 def _value_counts(df: DataFrame, value: str) -> DataFrame:
     """Distinct non-null values with their row counts: a value shared by many rows becomes a single row."""
     return df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _stored_values(df: DataFrame, value: str, buckets: int | None) -> DataFrame:
-    """Distinct values with their counts, stored in value order."""
-    return _range_stored(_value_counts(df, value), [F.col("value").asc()], buckets)
-
-
 def running_sums(df: DataFrame, key: Column, names: Sequence[str], buckets: int | None = None) -> DataFrame:
     """``df``, whose ``key`` is unique, with ``<name>_cum`` (running sum in key order) and ``<name>_total``."""
     stored = _range_stored(df, [key], buckets)
@@ -135,56 +119,81 @@ def cumulative_values(
     )
 
 
-def quantiles(
-    df: DataFrame, column: str, probabilities: Sequence[float], buckets: int | None = None
-) -> list[float | None]:
-    """Exact quantiles with linear interpolation, nulls left out.
+def _selected(
+    entries: DataFrame, order: Sequence[str], wanted: Callable[[int], Sequence[int]], buckets: int | None
+) -> tuple[dict[int, int], Callable[[int, int], Row]]:
+    """Row counts of several columns, and the entries at the positions ``wanted`` of so many rows.
 
-    Only the buckets holding the wanted positions are scanned; the driver sees bucket
-    sizes and at most two values per probability.
+    ``entries`` holds (c, <order>, rows): the number of a column, what it is sorted by, and how many rows
+    the entry stands for. One range partitioning sorts all columns. The driver sees the sizes of
+    (column, bucket) parts and one entry per position; only the parts that hold one are read again.
     """
-    stored = _stored_values(df, column, buckets)
-    sizes = sorted(
-        (r["_bucket"], r["rows"])
-        for r in stored.groupBy("_bucket").agg(F.sum("rows").alias("rows")).collect()
-    )
-    n = sum(size for _, size in sizes)
-    if n == 0:
-        return [None] * len(probabilities)
-    wanted = sorted({f(p * (n - 1)) for p in probabilities for f in (math.floor, math.ceil)})
-
-    before, hit = 0, {}
-    for bucket, size in sizes:
-        if any(before <= position < before + size for position in wanted):
-            hit[bucket] = before
-        before += size
-    offset = F.lit(None).cast("long")
-    for bucket, rows_before in hit.items():
-        offset = F.when(F.col("_bucket") == bucket, rows_before).otherwise(offset)
-    running = Window.partitionBy("_bucket").orderBy("_row").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    last = F.col("_last")
-    holds = F.lit(False)
-    for position in wanted:
-        holds = holds | ((F.lit(position) < last) & (F.lit(position) >= last - F.col("rows")))
+    stored = _range_stored(entries, [F.col(c) for c in ("c", *order)], buckets)
+    sizes = sorted(tuple(r) for r in stored.groupBy("c", "_bucket").agg(F.sum("rows").alias("rows")).collect())
+    counts: dict[int, int] = {}
+    parts = []
+    for c, bucket, rows in sizes:
+        parts.append((c, bucket, counts.get(c, 0), rows))
+        counts[c] = counts.get(c, 0) + rows
+    hits = []
+    for c, bucket, before, rows in parts:
+        inside = [p for p in sorted(set(wanted(counts[c]))) if before <= p < before + rows]
+        if inside:
+            hits.append((c, bucket, before, inside))
+    schema = "c int, _bucket int, _before long, _wanted array<long>"
+    running = Window.partitionBy("c", "_bucket").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.col("_before") + F.sum("rows").over(running)
     found = (
-        stored.filter(F.col("_bucket").isin(list(hit)))
-        .withColumn("_last", offset + F.sum("rows").over(running))
-        .filter(holds)
-        .select(F.col("value").cast("double").alias("value"), "rows", "_last")
+        # One row per wanted position at most.
+        stored.join(F.broadcast(entries.sparkSession.createDataFrame(hits, schema)), ["c", "_bucket"])
+        .withColumn("_last", last)
+        .withColumn("_first", F.col("_last") - F.col("rows"))
+        .filter(F.exists("_wanted", lambda p: (p >= F.col("_first")) & (p < F.col("_last"))))
+        .select("c", *order, "_first", "_last")
         .collect()
     )
 
-    def at(position: int) -> float:
-        return next(r["value"] for r in found if r["_last"] - r["rows"] <= position < r["_last"])
+    def at(c: int, position: int) -> Row:
+        return next(r for r in found if r["c"] == c and r["_first"] <= position < r["_last"])
+
+    return counts, at
+
+
+def _unpivoted(df: DataFrame, columns: Sequence[Column], *others: str) -> DataFrame:
+    """(c, value, others): a row per non-null value of each column, as doubles."""
+    each = F.array(*[F.struct(F.lit(i).alias("c"), c.cast("double").alias("value")) for i, c in enumerate(columns)])
+    return df.select(F.explode(each).alias("_e"), *others).select("_e.c", "_e.value", *others).filter(F.col("value").isNotNull())
+
 
-    out = []
-    for p in probabilities:
-        spot = p * (n - 1)
-        low, high = at(math.floor(spot)), at(math.ceil(spot))
-        out.append(low + (high - low) * (spot - math.floor(spot)))
-    return out
+def quantiles_of(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], buckets: int | None = None
+) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns with linear interpolation, nulls left out, from one sort.
+
+    Equal values are grouped first, so a value shared by many rows is a single entry.
+    """
+    entries = _unpivoted(df, [F.col(c) for c in columns]).groupBy("c", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+    def spots(n: int) -> list[int]:
+        return [f(p * (n - 1)) for p in probabilities for f in (math.floor, math.ceil)]
+
+    counts, at = _selected(entries, ["value"], spots, buckets)
+
+    def quantile_at(c: int, p: float) -> float:
+        spot = p * (counts[c] - 1)
+        low, high = at(c, math.floor(spot))["value"], at(c, math.ceil(spot))["value"]
+        return low + (high - low) * (spot - math.floor(spot))
+
+    return {
+        name: [quantile_at(c, p) for p in probabilities] if c in counts else [None] * len(probabilities)
+        for c, name in enumerate(columns)
+    }
+
+
+def quantiles(
+    df: DataFrame, column: str, probabilities: Sequence[float], buckets: int | None = None
+) -> list[float | None]:
+    return quantiles_of(df, [column], probabilities, buckets)[column]
 
 
 def quantile(df: DataFrame, column: str, p: float) -> float | None:
@@ -193,9 +202,47 @@ def quantile(df: DataFrame, column: str, p: float) -> float | None:
 
 def qcut(df: DataFrame, column: str, k: int, name: str, descending: bool = False) -> DataFrame:
     """Score 1..k by quantile bins, right-closed; bins that coincide are merged."""
-    cuts = quantiles(df, column, [i / k for i in range(1, k)])
-    score = bin_by_cuts(F.col(column).cast("double"), [c for c in cuts if c is not None], descending)
-    return df.withColumn(name, score)
+    return qcuts(df, {name: (column, descending)}, k)
+
+
+def qcuts(df: DataFrame, scores: Mapping[str, tuple[str, bool]], k: int, buckets: int | None = None) -> DataFrame:
+    """``qcut`` of several (column, descending) at once, from one sort."""
+    columns = list(dict.fromkeys(c for c, _ in scores.values()))
+    cuts = quantiles_of(df, columns, [i / k for i in range(1, k)], buckets)
+    binned = {
+        name: bin_by_cuts(F.col(column).cast("double"), [c for c in cuts[column] if c is not None], descending)
+        for name, (column, descending) in scores.items()
+    }
+    return df.withColumns(binned)
+
+
+def ntiles(
+    df: DataFrame, scores: Mapping[str, tuple[str, bool]], unique_tiebreak: str, k: int, buckets: int | None = None
+) -> DataFrame:
+    """SQL ``NTILE(k)`` over all rows by several (column, descending) orders, ties in order of the id.
+
+    The first (value, id) of each tile is all it takes: one narrow table of (column, value, id) is sorted
+    and stored, the k - 1 boundaries of every score are read from it, and each row compares itself
+    with them. Nothing is joined back. Rows with a null value have a null tile and don't count. Values are
+    compared as doubles.
+    """
+    value = lambda column, descending: (-1 if descending else 1) * F.col(column).cast("double")
+    entries = _unpivoted(df, [value(*s) for s in scores.values()], unique_tiebreak).withColumn("rows", F.lit(1).cast("long"))
+
+    def starts(n: int) -> list[int]:
+        small, extra = divmod(n, k)
+        return [t * small + min(t, extra) for t in range(1, min(k, n))]
+
+    counts, at = _selected(entries, ["value", unique_tiebreak], starts, buckets)
+    tiles = {}
+    for c, (name, score) in enumerate(scores.items()):
+        mine, ident, tile = value(*score), F.col(unique_tiebreak), F.lit(1)
+        for position in starts(counts.get(c, 0)):
+            first = at(c, position)
+            later = (mine > first["value"]) | ((mine == first["value"]) & (ident >= F.lit(first[unique_tiebreak])))
+            tile = tile + later.cast("int")
+        tiles[name] = F.when(mine.isNotNull(), tile)
+    return df.withColumns(tiles)
 
 
 def centred_mean(

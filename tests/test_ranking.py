@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storelens.functions.exprs import bin_fixed
 from storelens.operators import customers
 from storelens.operators import ranking as r
+from storelens.session import stored
 
 
 @pytest.fixture(scope="module")
@@ -51,10 +52,46 @@ def test_heavy_value_is_spread_over_buckets(heavy):
 
 def test_ntile_sizes_and_fewer_rows_than_tiles(spark):
     df = spark.createDataFrame([(i,) for i in range(7)], "id int")
-    tiles = r.global_ntile(df, [F.col("id")], "id", 5, "t")
+    tiles = r.ntiles(df, {"t": ("id", False)}, "id", 5)
     assert [c for _, c in sorted(rows_of(tiles.groupBy("t").count()))] == [2, 2, 1, 1, 1]
-    few = r.global_ntile(df.filter("id < 3"), [F.col("id")], "id", 5, "t")
+    few = r.ntiles(df.filter("id < 3"), {"t": ("id", False)}, "id", 5)
     assert sorted(rows_of(few)) == [(0, 1), (1, 2), (2, 3)]
+    assert r.ntiles(df.limit(0), {"t": ("id", False)}, "id", 5).collect() == []
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 50])
+def test_ntiles_of_several_columns_equal_the_global_windows(spark, buckets):
+    rng = random.Random(11)
+    data = [(f"id{i:05d}", rng.randint(0, 3), rng.random() * 1e6, None if i % 9 == 0 else i % 4) for i in range(3001)]
+    df = spark.createDataFrame(data, "id string, a int, b double, c int").repartition(6)
+    over = lambda *order: F.ntile(5).over(Window.orderBy(*order))
+    want = df.select("id", over(F.col("a").desc(), "id").alias("x"), over(F.col("b"), "id").alias("y"))
+    kept = df.filter("c IS NOT NULL").select("id", over(F.col("c"), "id").alias("z"))
+    expected = sorted(rows_of(want.join(kept, "id", "left"), "id", "x", "y", "z"), key=str)
+    found = r.ntiles(df, {"x": ("a", True), "y": ("b", False), "z": ("c", False)}, "id", 5, buckets)
+    assert sorted(rows_of(found, "id", "x", "y", "z"), key=str) == expected
+
+
+def test_ntiles_store_one_narrow_table_and_join_nothing(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("a"), F.lit("wide").alias("w"))
+    with stored(spark) as own:
+        plan = r.ntiles(df, {"x": ("a", True), "y": ("id", False)}, "id", 4)._jdf.queryExecution().executedPlan().toString()
+        assert own.tables == 1 and "Join" not in plan and "Exchange" not in plan
+        assert spark.read.parquet(f"{own.folder}/0").columns == ["c", "value", "id", "rows", "_pos"]
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 50])
+def test_quantiles_of_several_columns(spark, buckets):
+    rng = random.Random(12)
+    data = [(rng.randint(0, 5), rng.random(), None if i % 3 else float(i), None) for i in range(997)]
+    df = spark.createDataFrame(data, "a int, b double, c double, d double")
+    probabilities = [0.0, 0.1, 1 / 3, 0.5, 0.999, 1.0]
+    with stored(spark) as own:
+        found = r.quantiles_of(df, ["a", "b", "c", "d"], probabilities, buckets)
+        assert own.tables == 1
+    for i, name in enumerate("abc"):
+        assert found[name] == pytest.approx(list(np.quantile([x[i] for x in data if x[i] is not None], probabilities)))
+    assert found["d"] == [None] * 6
 
 
 @pytest.mark.parametrize("buckets", [1, 2, 50])

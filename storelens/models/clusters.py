@@ -1,33 +1,153 @@
-"""K-Means customer segments on standardised recency, frequency and order value."""
+"""K-Means customer segments on standardised recency, frequency and order value.
+
+All restarts advance together: one pass over the stored points gives every restart's sums per cluster,
+and restarts that have converged drop out of the next pass. The driver holds centres only.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import PLACES
+from storelens.operators.customers import PERSON
+from storelens.session import materialize
 
 INPUTS = ("recency_days", "frequency", "monetary")
 # Fixed value: far above what the fits need, which stop when centres hardly move.
 MAX_ITER = 300
+#: A restart has converged when its centres' squared moves add up to no more, in squared standard deviations.
+TOLERANCE = 1e-4
+#: About so many points at most are drawn for the starts.
+START_ROWS = 20_000
+
+
+def _standardised(df: DataFrame, inputs: Sequence[str]) -> list[Column]:
+    """The inputs in standard deviations from their mean; a constant one is 0."""
+    doubles = {c: F.col(c).cast("double") for c in inputs}
+    row = df.agg(*[f(x).alias(f"{n}_{c}") for c, x in doubles.items() for n, f in (("m", F.avg), ("s", F.stddev_pop))]).head()
+    return [((x - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"]) if row[f"s_{c}"] else x * 0.0) for c, x in doubles.items()]
+
+
+def _squared(x: Sequence[Column], centre: Sequence[Column | float]) -> Column:
+    return sum(((a - b) * (a - b) for a, b in zip(x, centre, strict=True)), F.lit(0.0))
+
+
+def _nearest(x: Sequence[Column], centres: Sequence[Sequence[Column | float]]) -> Column:
+    """(squared distance, number) of the nearest centre; of equally near ones the first."""
+    each = [F.struct(_squared(x, c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centres)]
+    return F.least(*each) if len(each) > 1 else each[0]
 
 
-def kmeans_segments(rfm: DataFrame, k: int = 4, seeds: Sequence[int] = tuple(range(42, 52)), max_iter: int = MAX_ITER) -> DataFrame:
-    """``rfm`` with its ``cluster``; of several seeded fits the tightest one is kept."""
-    assembled = VectorAssembler(inputCols=list(INPUTS), outputCol="raw").transform(rfm)
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    points = scaler.fit(assembled).transform(assembled).drop("raw").persist(StorageLevel.MEMORY_AND_DISK)
-    fits = [KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(points) for seed in seeds]
-    best = min(fits, key=lambda model: model.summary.trainingCost)
-    if best.summary.numIter >= max_iter:
+def _plain_lloyd(x: np.ndarray, centres: np.ndarray, tolerance: float) -> np.ndarray:
+    for _ in range(MAX_ITER):
+        near = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+        sizes = np.bincount(near, minlength=len(centres))[:, None]
+        sums = np.stack([np.bincount(near, column, len(centres)) for column in x.T], axis=1)
+        moved = np.where(sizes > 0, sums / np.maximum(sizes, 1), centres)
+        shift = ((moved - centres) ** 2).sum()
+        centres = moved
+        if shift <= tolerance:
+            break
+    return centres
+
+
+def starts(points: DataFrame, key: str, columns: Sequence[str], k: int, seeds: Sequence[int], rows: int = START_ROWS) -> np.ndarray:
+    """Starting centres of every seed, shape (seeds, k, columns), from at most about ``rows`` points.
+
+    The points, chosen by a hash of the id, are few enough for the driver. Each seed spreads its centres over
+    them (a next centre is drawn with a chance in proportion to its squared distance from those so far)
+    and refines them there, so that few passes over all points remain.
+    """
+    total = points.count()
+    some = points if total <= rows else points.where(F.pmod(F.xxhash64(key), F.lit(total)) < rows)
+    x = np.array([r[1:] for r in some.orderBy(key, *columns).select(key, *columns).collect()], float)
+    out = []
+    for seed in seeds:
+        draw = np.random.default_rng(seed)
+        centres = [x[draw.integers(len(x))]]
+        while len(centres) < k:
+            far = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
+            chance = far / far.sum() if far.sum() > 0 else None
+            centres.append(x[draw.choice(len(x), p=chance)])
+        out.append(_plain_lloyd(x, np.array(centres), TOLERANCE))
+    return np.array(out)
+
+
+def _pass(points: DataFrame, columns: Sequence[str], centres: dict[int, np.ndarray]) -> dict[int, dict[int, tuple[int, float, list[float]]]]:
+    """By restart and cluster: rows, sum of squared distances, sums of coordinates.
+
+    Each task sends a row per restart and cluster; its batches meet all restarts at once.
+    """
+    d, numbers = len(columns), sorted(centres)
+    k = len(centres[numbers[0]])
+    every = np.concatenate([centres[r] for r in numbers])
+    names = ["r", "k", "rows", "cost", *[f"s{i}" for i in range(d)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(numbers), k, 2 + d))
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)], axis=1)
+            squared = sum((x[:, i : i + 1] - every[:, i]) ** 2 for i in range(d)).reshape(len(x), len(numbers), k)
+            near = squared.argmin(axis=2)
+            for n in range(len(numbers)):
+                least = squared[np.arange(len(x)), n, near[:, n]]
+                for column, weights in enumerate([None, least, *x.T]):
+                    sums[n, :, column] += np.bincount(near[:, n], weights, k)
+        flat = sums.reshape(-1, 2 + d)
+        arrays = [pa.array(np.repeat(numbers, k)), pa.array(np.tile(np.arange(k), len(numbers))), pa.array(flat[:, 0].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(flat[:, 1 + i].copy()) for i in range(1 + d)]], names)
+
+    found = points.select(*columns).mapInArrow(run, f"r long, k long, rows long, {', '.join(f'{n} double' for n in names[3:])}")
+    out: dict[int, dict[int, tuple[int, float, list[float]]]] = {r: {} for r in centres}
+    for row in found.groupBy("r", "k").agg(*[F.sum(n).alias(n) for n in names[2:]]).collect():  # restarts x clusters
+        if row["rows"]:
+            out[row["r"]][row["k"]] = (row["rows"], row["cost"], [row[f"s{i}"] for i in range(d)])
+    return out
+
+
+def lloyd(points: DataFrame, columns: Sequence[str], first: np.ndarray, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centres, cost, iterations) of every restart; a cluster that loses its points keeps its centre."""
+    centres = {r: c.copy() for r, c in enumerate(first)}
+    live, iterations = set(centres), np.zeros(len(first), int)
+    for _ in range(max_iter):
+        if not live:
+            break
+        sums = _pass(points, columns, {r: centres[r] for r in sorted(live)})
+        for r in sorted(live):
+            old = centres[r].copy()
+            for k, (rows, _, total) in sums[r].items():
+                centres[r][k] = np.array(total) / rows
+            iterations[r] += 1
+            if np.sum((centres[r] - old) ** 2) <= tolerance:
+                live.discard(r)
+    cost = _pass(points, columns, centres)
+    return np.stack([centres[r] for r in range(len(first))]), np.array([sum(c for _, c, _ in cost[r].values()) for r in range(len(first))]), iterations
+
+
+def kmeans_segments(
+    rfm: DataFrame, k: int = 4, seeds: Sequence[int] = tuple(range(42, 52)), max_iter: int = MAX_ITER, key: str = PERSON
+) -> DataFrame:
+    """``rfm`` with its ``cluster``; of several seeded fits the tightest one is kept.
+
+    Customers lacking one of the inputs take no part and have no cluster.
+    """
+    complete = rfm.dropna(subset=list(INPUTS))
+    scaled = _standardised(complete, INPUTS)
+    columns = [f"x{i}" for i in range(len(INPUTS))]
+    points = materialize(complete.select(key, *[x.alias(c) for x, c in zip(scaled, columns, strict=True)]))
+    if points.isEmpty():
+        return rfm.withColumn("cluster", F.lit(None).cast("int"))
+    centres, cost, iterations = lloyd(points, columns, starts(points, key, columns, k, seeds), max_iter)
+    best = int(np.argmin(cost))
+    if iterations[best] >= max_iter:
         raise RuntimeError(f"no convergence within {max_iter} iterations")
-    points.unpersist()
-    return best.transform(points).drop("features")
+    cluster = _nearest(scaled, centres[best].tolist())["k"]
+    return rfm.withColumn("cluster", F.when(F.concat(*[F.col(c).cast("string") for c in INPUTS]).isNotNull(), cluster))
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:

@@ -282,6 +282,51 @@ def test_kmeans_separates_clear_groups(spark):
     assert ("3", "High value buyers") in named and len(named) == 4
 
 
+def _single_fit(x, start, tolerance):
+    centres = start.copy()
+    for iteration in range(1, 301):
+        near = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+        moved = np.array([x[near == k].mean(0) if (near == k).any() else c for k, c in enumerate(centres)])
+        step = ((moved - centres) ** 2).sum()
+        centres = moved
+        if step <= tolerance:
+            break
+    return centres, ((x[:, None] - centres[None]) ** 2).sum(-1).min(1).sum(), iteration
+
+
+def test_restarts_together_equal_single_fits(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.4, (80, 3)) for c in rng.normal(0, 2, (5, 3))])
+    points = spark.createDataFrame([(f"{i}", *map(float, v)) for i, v in enumerate(x)], "id string, x0 double, x1 double, x2 double").repartition(4)
+    columns = ["x0", "x1", "x2"]
+    starts = x[rng.integers(0, len(x), (10, 4))]
+    starts[9] = 100 + np.arange(12).reshape(4, 3)  # clusters that never get a point
+    centres, cost, iterations = clusters.lloyd(points, columns, starts)
+    for r in range(10):
+        want, price, steps = _single_fit(x, starts[r], clusters.TOLERANCE)
+        assert np.allclose(centres[r], want, atol=1e-9) and cost[r] == pytest.approx(price) and iterations[r] == steps
+    assert len(set(iterations.tolist())) > 1
+
+
+def test_starts_are_spread_and_repeatable(spark):
+    x = np.repeat([[0.0, 0.0], [10.0, 0.0], [0.0, 10.0]], 50, axis=0)
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id int, a double, b double")
+    found = clusters.starts(points, "id", ["a", "b"], 3, range(6))
+    assert all({tuple(c) for c in s} == {(0.0, 0.0), (10.0, 0.0), (0.0, 10.0)} for s in found.tolist())
+    assert (found == clusters.starts(points.repartition(5), "id", ["a", "b"], 3, range(6))).all()
+    # More centres than different points: some coincide. Fewer rows than there are: a sample.
+    assert clusters.starts(points, "id", ["a", "b"], 5, [1]).shape == (1, 5, 2)
+    assert clusters.starts(points, "id", ["a", "b"], 2, [1], rows=40).shape == (1, 2, 2)
+
+
+def test_clusters_of_incomplete_and_no_customers(spark):
+    schema = "customer_unique_id string, recency_days int, frequency int, monetary double"
+    rows = [(f"{i}", i % 50, 1, float(i % 7)) for i in range(60)] + [("x", None, 1, 2.0), ("y", 3, 1, None)]
+    found = {r["customer_unique_id"]: r["cluster"] for r in clusters.kmeans_segments(spark.createDataFrame(rows, schema), k=2, seeds=(1, 2)).collect()}
+    assert found["x"] is None and found["y"] is None and {found[f"{i}"] for i in range(60)} == {0, 1}
+    assert clusters.kmeans_segments(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_sample_is_bounded_and_repeatable(spark):
     df = spark.range(1000)
     first = rows_of(clusters.sample_n(df, "id", 50))

@@ -59,7 +59,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+        self.name = f"llm-{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark)}/{self.name}"
         self._count = 0
 
     @classmethod
@@ -77,12 +78,21 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def close(self) -> None:
+    @property
+    def last(self) -> str:
+        """Where the table kept last lies."""
+        return f"{self.path}/{self._count}"
+
+    def drop(self, path: str) -> None:
+        """Delete one table, which nothing reads any more."""
         context = self.spark.sparkContext
         if context._jsc is None or context._jsc.sc().isStopped():
             return
-        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+    def close(self) -> None:
+        self.drop(self.path)
 
     def __enter__(self) -> Workspace:
         return self

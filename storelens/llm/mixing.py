@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, n_words, pack, unpack
+from .common import NOT_SPACE, SPACE, Workspace, n_words, pack, unpack
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -84,6 +84,18 @@ def plan(
     """
     extra = [c for c in dict.fromkeys(payload) if c not in ("doc_id", "source", "size")]
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *[F.struct(*extra).alias("_payload")] * bool(extra))
+    return _planned(sized, extra, weights, budget, max_passes, schedules)
+
+
+def _planned(
+    sized: DataFrame,
+    extra: Sequence[str] = (),
+    weights: Sequence[float] = WEIGHTS,
+    budget: float = BUDGET,
+    max_passes: float = MAX_PASSES,
+    schedules: dict[float, Sequence[tuple[float, float]]] = SCHEDULES,
+) -> DataFrame:
+    """``plan`` from rows (doc_id, source, size), with ``extra`` columns in a struct ``_payload``."""
     per_source = targets(sized.select("source", "size"), weights, budget, max_passes)
     per_source = per_source.withColumnRenamed("source", "_source")
     d = sized.join(per_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -121,16 +133,20 @@ def plan(
     )
 
 
-def curriculum(docs: DataFrame, **options) -> DataFrame:
+def curriculum(docs: DataFrame, *, workspace: Workspace | None = None, **options) -> DataFrame:
     """The mixed documents themselves, a row per copy, range-sorted by training position.
 
     Columns are those of ``docs``. The one copy of a source that its target cuts
-    short holds the words up to the cut; ``n_chars``, if there, follows.
+    short holds the words up to the cut; ``n_chars``, if there, follows. The rows are stored once with their
+    sizes and a number each; planning reads sizes only, and the texts join its result by number.
     """
+    ws = Workspace.of(docs.sparkSession, workspace)
     apart = ["doc_id", "source", "text", *["n_chars"] * ("n_chars" in docs.columns)]
-    planned = plan(pack(docs, *apart), payload=["_row", *apart], **options)
-    c = planned.select("*", F.explode("copies").alias("_copy"))
-    cut = F.col("_copy.words") < F.col("size")
+    rows = ws.keep(pack(docs, *apart).select("*", n_words(F.col("text")).alias("_size"), F.monotonically_increasing_id().alias("_number")))
+    sized = rows.select("doc_id", "source", F.col("_size").alias("size"), F.struct("_number").alias("_payload"))
+    planned = ws.keep(_planned(sized, ["_number"], **options).where(F.size("copies") > 0).select("_number", "copies"))
+    c = rows.join(planned, "_number").withColumn("_copy", F.explode("copies"))
+    cut = F.col("_copy.words") < F.col("_size")
     # Each part ends where a word ends, so the first k parts hold the first k words.
     parts = F.split("text", f"(?<={NOT_SPACE})(?={SPACE})")
     head = F.array_join(F.slice(parts, F.lit(1), F.col("_copy.words").cast("int")), "")

@@ -2,9 +2,11 @@
 
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_mixing import fill
 from test_quality_rules import counts
 from test_simhash import brute_fingerprint, groups
@@ -94,3 +96,53 @@ def test_all_tokens_are_packed(stages):
 def test_run_gives_the_stages_result(spark, stages):
     with Workspace(spark) as ws:
         assert sorted(map(str, corpus_pipeline.run(spark, SF, ws).collect())) == sorted(map(str, stages[-1].collect()))
+
+
+def stored_folder(spark, folder, docs):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    table(spark, SF, "labels").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def stage_rows(spark, folder, ws):
+    docs, out = table(spark, folder, "documents"), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = ws.keep(stage(spark, docs, folder))
+        out.append(docs)
+    return out
+
+
+def test_an_empty_table_runs_through(spark, documents, ws, tmp_path):
+    folder = stored_folder(spark, tmp_path, documents([]))
+    assert [s.count() for s in stage_rows(spark, folder, ws)] == [0] * 5
+    assert corpus_pipeline.run(spark, folder, ws).count() == 0
+
+
+def test_nulls_repeated_rows_long_texts_and_clashing_columns(spark, ws, tmp_path):
+    good = table(spark, SF, "documents").limit(40)
+    columns = good.columns
+    odd = spark.createDataFrame([(None, None, None, None, None), (5000, "", None, None, 0), (5001, None, "en", "src0", None), (5002, " \n ", "en", "src0", 3)], good.schema)
+    long = good.orderBy("doc_id").limit(1).withColumns({"doc_id": F.lit(5003).cast("long"), "text": F.concat_ws(" ", F.expr("transform(sequence(1, 30000), i -> concat('word', i * 7919 % 29989))"))})
+    nameless = good.orderBy("doc_id").limit(3).withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
+    every = good.unionByName(odd).unionByName(long).unionByName(nameless).unionByName(good.limit(5))
+    extra = {"_size": F.lit("s"), "_number": F.lit("n"), "position": F.lit(7), "copies": F.lit(8), "_row": F.lit("r"), "blob": F.lit(1), "fp": F.lit(2), "size": F.lit(3)}
+    folder = stored_folder(spark, tmp_path, every.withColumns(extra))
+    out = stage_rows(spark, folder, ws)
+    for s in out[:-1]:
+        assert s.columns == [*columns, *extra] and s.count() > 0
+        assert {(r["_size"], r["_number"], r["position"], r["copies"], r["_row"], r["blob"], r["fp"], r["size"]) for r in s.collect()} == {("s", "n", 7, 8, "r", 1, 2, 3)}
+    ids = {r["doc_id"] for r in out[0].collect()}
+    assert not ids & {None, 5000, 5001, 5002}
+    assert out[1].count() == len({r["doc_id"] for r in out[1].collect()})
+    want = {r["doc_id"] for r in out[3].collect()}
+    assert {r["doc_id"] for r in out[4].collect()} == want
+
+
+def test_stages_leave_no_tables_behind(spark, ws):
+    corpus_pipeline.run(spark, SF, ws)
+    open_now = [w.path for w in corpus_pipeline._open]
+    assert len(open_now) == 1  # the last stage's
+    folders = [p.name for p in Path(ws.path.removeprefix("file:")).parent.glob("llm-*")]
+    assert Path(open_now[0]).name in folders
+    assert sum(name == Path(ws.path).name for name in folders) == 1
+    assert [p.name for p in Path(ws.path.removeprefix("file:")).iterdir()] in (["4", "5"], ["5", "4"], ["5"])

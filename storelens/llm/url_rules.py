@@ -33,8 +33,8 @@ RULES = (
 )
 
 SEPARATOR = "\x01"
-#: Sorts after every character.
-LAST = "\U0010ffff"
+#: Keys are sorted as UTF-8 bytes, among which this one doesn't occur: it sorts after every continuation of a key.
+LAST = bytes([255])
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
@@ -67,10 +67,10 @@ def _boundaries(rules: DataFrame) -> DataFrame:
     r = r.select(_key(F.col("rule_host"), F.col("rule_path")).alias("key"), F.struct("rule_host", "rule_path", "action").alias("rule"))
     prefixes = r.select(F.col("key").alias("own"), F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring("key", F.lit(1), n))).alias("key"))
     stacks = prefixes.join(r, "key").groupBy("own").agg(F.sort_array(F.collect_list(F.struct(F.length("key").alias("n"), "rule"))).alias("s"))
-    starts = stacks.select(F.col("own").alias("key"), F.lit(1).alias("side"), F.length("own").alias("deep"), F.transform("s", lambda x: x["rule"]).alias("stack"))
+    starts = stacks.select(F.col("own").cast("binary").alias("key"), F.lit(1).alias("side"), F.length("own").alias("deep"), F.transform("s", lambda x: x["rule"]).alias("stack"))
     # Where nested intervals end together the outermost must come last, so that its outside holds.
     ends = stacks.select(
-        F.concat("own", F.lit(LAST)).alias("key"),
+        F.concat(F.col("own").cast("binary"), F.lit(LAST)).alias("key"),
         F.lit(0).alias("side"),
         (-F.length("own")).alias("deep"),
         F.transform(F.slice("s", 1, F.size("s") - 1), lambda x: x["rule"]).alias("stack"),
@@ -87,7 +87,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", *, w
     # A host that spans an uncommon number of labels is looked up under every one of them.
     looked = p.select("page_id", "host", "path", F.posexplode(suffixes).alias("nth", "suffix"))
     looked = looked.select(
-        _key(F.col("suffix"), F.col("path")).alias("key"),
+        _key(F.col("suffix"), F.col("path")).cast("binary").alias("key"),
         F.lit(2).alias("side"),
         F.xxhash64("page_id", "nth").alias("deep"),
         "page_id", "host", "path", "nth", "suffix",

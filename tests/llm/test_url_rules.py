@@ -65,3 +65,9 @@ def test_equal_rules_count_once(spark, ws):
     rules = U.rules_table(spark, [("org", "/", "block"), ("org", "/", "allow"), ("org", "/", "allow")])
     got = Counter(tuple(r) for r in U.filter_urls(pages, rules, workspace=ws).collect())
     assert got == {(1, "x.org", "/", "org/", "allow"): 2, (None, "x.org", "/", "org/", "allow"): 1}
+
+
+def test_paths_that_go_on_with_the_last_character(spark, ws):
+    last = "\U0010ffff"
+    check(spark, ws, [f"http://x.com/de/{last}", f"http://x.com/de/{last}{last}a", f"http://x.com/d{last}", f"http://{last}.com/de/", f"http://x.com/de{last}/", "http://x.com/de/퟿"], U.RULES)
+    check(spark, ws, [f"http://a.b/{last}/{last}", f"http://a.b/{last}", "http://a.b/x"], [("b", "/", "block"), ("a.b", f"/{last}", "allow"), ("a.b", f"/{last}/{last}", "block")])

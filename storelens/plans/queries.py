@@ -7,16 +7,17 @@ from concurrent.futures import ThreadPoolExecutor
 from contextvars import copy_context
 from functools import lru_cache, partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, IntegerType, ShortType
+from pyspark.sql.types import DecimalType, IntegerType, ShortType, StructType
 
 from storelens.models import clusters, curves, risk
 from storelens.models import features as feats
 from storelens.operators import audit, customers, descriptive, diagnostic, kpi, mart
 from storelens.plans import views
 from storelens.session import configure, materialize, store_of
-from storelens.sources.files import Tables, append_rows
+from storelens.sources.files import Tables, append_rows, coercion_report, rejected_rows
+from storelens.sources.schemas import SCHEMAS
 from storelens.sources.star import STAR_CUTOFF, STAR_TRANSLATION_FIXES, commerce_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,7 +229,37 @@ def _rule_choice(t: Tables) -> DataFrame:
     return risk.choose(risk.compare(rows), ("f1",)).drop("roc_auc")
 
 
+def _raw_items(t: Tables) -> DataFrame:
+    """Order items as text, with bad values seeded by the order's number."""
+    text = t["order_items"].select([F.col(c).cast("string").alias(c) for c in t["order_items"].columns])
+    order = F.col("order_id").cast("long")
+
+    def seeded(column: str, every: int, value: str) -> Column:
+        return F.when(order % every == 0, value).otherwise(F.col(column))
+
+    return text.withColumns({
+        "price": seeded("price", 97, "n/a"),
+        "freight_value": seeded("freight_value", 101, "1,5"),
+        "shipping_limit_date": seeded("shipping_limit_date", 89, "soon"),
+        "order_item_id": seeded("order_item_id", 83, " "),
+    })
+
+
+def _coercion_report(t: Tables) -> DataFrame:
+    schema = StructType([SCHEMAS["order_items"][c] for c in ("order_item_id", "shipping_limit_date", "price", "freight_value")])
+    return coercion_report(_raw_items(t), schema, "order_items")
+
+
+def _rejected_items(t: Tables) -> DataFrame:
+    schema = StructType([SCHEMAS["order_items"][c] for c in ("shipping_limit_date", "price", "freight_value")])
+    lost = rejected_rows(_raw_items(t), schema).select("order_id", F.explode("rejects").alias("r"))
+    return lost.groupBy(F.col("order_id").cast("long").alias("order_id"), "r.col", "r.value").agg(F.count(F.lit(1)).alias("items"))
+
+
 QUERIES: dict[str, Query] = {
+    # loads
+    "coercion_report": _on_tables(_coercion_report),
+    "rejected_items": _on_tables(_rejected_items),
     # audit
     "audit_row_counts": _on_tables(audit.row_counts),
     "audit_dup_key": _on_tables(audit.audit_dup_key),

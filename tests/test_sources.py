@@ -46,6 +46,42 @@ def test_coercion_turns_bad_values_into_nulls(spark):
     assert tuple(bad) == ("b", None, None, None)
 
 
+def test_rejected_values_are_counted_and_kept(spark):
+    schema = SCHEMAS["order_items"]
+    raw = spark.createDataFrame(
+        [("a", "3", "2017-01-02 03:04:05", "1.5"), ("b", "x", "soon", ""), ("c", None, "later", "2,5"), ("d", " ", None, "x")],
+        "order_id string, order_item_id string, shipping_limit_date string, price string",
+    )
+    report = {r["col"]: (r["n_values"], r["rejected"], r["example"], r["rejected_pct"]) for r in files.coercion_report(raw, schema, "order_items").collect()}
+    assert report == {
+        "order_id": (4, 0, None, 0.0),
+        "order_item_id": (2, 1, "x", 50.0),
+        "shipping_limit_date": (3, 2, "later", 66.6667),
+        "price": (3, 2, "2,5", 66.6667),
+    }
+    lost = {r["order_id"]: [tuple(x) for x in r["rejects"]] for r in files.rejected_rows(raw, schema).collect()}
+    assert lost == {
+        "b": [("order_item_id", "x"), ("shipping_limit_date", "soon")],
+        "c": [("shipping_limit_date", "later"), ("price", "2,5")],
+        "d": [("price", "x")],
+    }
+    none = files.coercion_report(raw.limit(0), schema, "t").collect()
+    assert {(r["n_values"], r["rejected"], r["rejected_pct"]) for r in none} == {(0, 0, None)}
+
+
+def test_bad_csv_records_are_kept_as_they_are(spark, tmp_path):
+    write_csv(
+        tmp_path,
+        order_items=['o1,1,p1,s1,2017-09-19 09:45:35,58.90,13.29', "o2,x,p1,s1,not a time,abc,1", "o3,1,p1"],
+        reviews=['r1,o1,many,,"line one\nline two",2018-01-18 00:00:00,2018-01-18 21:46:59'],
+    )
+    bad = files.read_csv_rejects(spark, str(tmp_path))
+    assert sorted(r["record"] for r in bad["order_items"].collect()) == ["o2,x,p1,s1,not a time,abc,1", "o3,1,p1"]
+    assert bad["order_items"].select("record").count() == 2  # also where no other column is asked for
+    assert "line two" in one(bad["reviews"])["record"] and bad["orders"].count() == 0
+    assert files.read_csv_tables(spark, str(tmp_path))["order_items"].count() == 3
+
+
 def test_overwrite_replaces_and_parquet_round_trips(spark, tmp_path):
     t = tables(spark, orders=[order("a")[0]], payments=[dict(order_id="a", payment_sequential=1, payment_value=3)])
     files.write_tables(t, str(tmp_path))

@@ -28,7 +28,7 @@ UNDETERMINED = "und"
 HIDDEN = 8
 SEGMENT = 96
 PER_LANGUAGE = 300
-#: More languages than this are an error: the output layer, and the training sample, grow with them.
+#: The most frequent languages, so many at most, are learned: the output layer and the training sample grow with them.
 MAX_LANGUAGES = 500
 #: Segments of one document used in training, spread evenly.
 SEGMENTS_EACH = 6
@@ -66,8 +66,8 @@ class Network:
     def hidden(self) -> int:
         return self.params["uf"].shape[0]
 
-    def _run(self, data: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States (time, row, H) of one direction over bytes (time, row)."""
+    def _run(self, data: np.ndarray, d: str, keep: list | None = None, mask: np.ndarray | None = None) -> np.ndarray:
+        """States (time, row, H) of one direction over bytes (time, row); padding, where ``mask`` is 0, leaves no trace."""
         p, n = self.params, self.hidden
         x, u, c = p[f"x{d}"], p[f"u{d}"], p[f"c{d}"]
         h = np.zeros((data.shape[1], n), np.float32)
@@ -85,6 +85,8 @@ class Network:
             new = pre / (1 + np.abs(pre))
             before = h
             h = new + z * (h - new)
+            if mask is not None and d == "b":
+                h *= mask[t][:, None]
             out[t] = h
             if keep is not None:
                 keep.append((t, before, r[:, 2 * n :], gates, z, reset, pre, new))
@@ -100,15 +102,15 @@ class Network:
         y /= y.sum(axis=-1, keepdims=True)
         return y
 
-    def label(self, data: np.ndarray) -> np.ndarray:
+    def label(self, data: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
         """Language probabilities of every byte: (time, row, language)."""
-        return self._output(self._run(data, "f"), self._run(data, "b"))
+        return self._output(self._run(data, "f"), self._run(data, "b", mask=mask))
 
     def gradients(self, data: np.ndarray, mask: np.ndarray, truth: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over the bytes of the mask, and its gradients by backpropagation through time."""
         p, n = self.params, self.hidden
         kept: dict[str, list] = {"f": [], "b": []}
-        f, b = self._run(data, "f", kept["f"]), self._run(data, "b", kept["b"])
+        f, b = self._run(data, "f", kept["f"]), self._run(data, "b", kept["b"], mask)
         y = self._output(f, b)
         weight = mask / mask.sum()
         rows = np.arange(data.shape[1])
@@ -124,7 +126,7 @@ class Network:
             dx, du, dc = np.zeros_like(p[f"x{d}"]), np.zeros_like(u), np.zeros_like(p[f"c{d}"])
             carry = np.zeros((data.shape[1], n), np.float32)
             for t, before, rec, gates, z, reset, pre, new in reversed(kept[d]):
-                dh = into[t] + carry
+                dh = (into[t] + carry) * mask[t][:, None]
                 dz = dh * (before - new)
                 dpre = dh * (1 - z) / (1 + np.abs(pre)) ** 2
                 dreset = dpre * rec
@@ -152,16 +154,22 @@ def segments(text: str, size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[str], truth: list[int], languages: int, hidden: int = HIDDEN, steps: int = STEPS, seed: int = SEED) -> Network:
+    picked = [picked_segments(t) for t in texts]
+    data, lengths = np.concatenate([d for d, _ in picked]), np.concatenate([n for _, n in picked])
+    labels = np.repeat(np.array(truth, np.int64), [len(n) for _, n in picked])
+    return fit_segments(data, lengths, labels, languages, hidden, steps, seed)
+
+
+def picked_segments(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of a text that are used in training, and their lengths."""
+    d, n = segments(text)
+    pick = np.unique(np.linspace(0, len(d) - 1, min(len(d), SEGMENTS_EACH)).astype(int)) if len(d) else np.zeros(0, int)
+    return d[pick], n[pick]
+
+
+def fit_segments(data: np.ndarray, lengths: np.ndarray, labels: np.ndarray, languages: int, hidden: int = HIDDEN, steps: int = STEPS, seed: int = SEED) -> Network:
     rng = np.random.default_rng(seed)
     net = Network.new(languages, hidden, rng)
-    data, lengths, labels = [], [], []
-    for t, y in zip(texts, truth, strict=True):
-        d, n = segments(t)
-        pick = np.unique(np.linspace(0, len(d) - 1, min(len(d), SEGMENTS_EACH)).astype(int)) if len(d) else []
-        data.append(d[pick])
-        lengths.append(n[pick])
-        labels += [y] * len(pick)
-    data, lengths, labels = np.concatenate(data), np.concatenate(lengths), np.array(labels)
     by_language = [np.flatnonzero(labels == k) for k in range(languages)]
     by_language = [x for x in by_language if len(x)]
     first = {k: np.zeros_like(v) for k, v in net.params.items()}
@@ -182,24 +190,40 @@ def fit(texts: list[str], truth: list[int], languages: int, hidden: int = HIDDEN
     return net
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], Network] | None:
-    """Languages and the network, learned from (doc_id, text, lang) rows."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MAX_LANGUAGES) -> tuple[list[str], Network] | None:
+    """Languages and the network, learned from (doc_id, text, lang) rows.
+
+    Of more than ``most`` lang values those with the most documents are learned, ties in their order; the
+    others are never predicted.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    languages = [r["lang"] for r in usable.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = sorted(r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(most).collect())
     if not languages:
         return None
+    usable = usable.where(F.col("lang").isin(languages)) if len(languages) == most else usable
     # The limit by rank reaches the scan's tasks, so a common language is cut down before the shuffle.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), F.xxhash64("text")))
     sample = usable.select("lang", "text", rank.alias("rank")).where(F.col("rank") <= per_language)
     number = {x: k for k, x in enumerate(languages)}
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only the segments that are learned from go to the one task that learns."""
+        for batch in batches:
+            rows = [(lang, rank, text, *picked_segments(text)) for lang, rank, text in zip(*(batch[c].to_pylist() for c in ("lang", "rank", "text")), strict=True)]
+            columns = [[number[r[0]] for r in rows], [r[1] for r in rows], [r[3].tobytes() for r in rows], [r[4].tolist() for r in rows]]
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["language", "rank", "data", "lengths"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r["lang"], r["rank"], r["text"]) for b in batches for r in b.to_pylist())
-        net = fit([r[2] for r in rows], [number[r[0]] for r in rows], len(languages))
+        rows = sorted((r["language"], r["rank"], bytes(r["data"]), r["lengths"]) for b in batches for r in b.to_pylist())
+        data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+        lengths = np.array([n for r in rows for n in r[3]], np.int64)
+        labels = np.repeat([r[0] for r in rows], [len(r[3]) for r in rows])
+        net = fit_segments(data.reshape(len(lengths), -1), lengths, labels, len(languages))
         yield pa.record_batch([pa.array(list(net.params)), pa.array([v.astype("<f4").tobytes() for v in net.params.values()])], names=["name", "data"])
 
+    sample = sample.mapInArrow(cut, "language int, rank int, data binary, lengths array<long>")
     found = {r["name"]: np.frombuffer(bytes(r["data"]), "<f4") for r in sample.repartition(1).mapInArrow(run, "name string, data binary").collect()}
     hidden = len(found["cf"]) // 3
     shapes = {"x": (256, 3 * hidden), "u": (hidden, 3 * hidden), "c": (3 * hidden,)}
@@ -223,9 +247,10 @@ def predict(docs: DataFrame, model: tuple[list[str], Network] | None) -> DataFra
         for at in range(0, len(order), step):
             rows = order[at : at + step]
             longest = int(lengths[rows[-1]])
-            y = net.label(np.ascontiguousarray(data[rows, :longest].T))
-            if lengths[rows[0]] < longest:
-                y *= (np.arange(longest)[:, None] < lengths[rows][None, :])[..., None]
+            mask = (np.arange(longest)[:, None] < lengths[rows][None, :]).astype(np.float32) if lengths[rows[0]] < longest else None
+            y = net.label(np.ascontiguousarray(data[rows, :longest].T), mask)
+            if mask is not None:
+                y *= mask[..., None]
             np.add.at(total, doc[rows], y.sum(axis=0))
         return total / np.maximum(np.bincount(doc, lengths, len(texts)), 1)[:, None]
 

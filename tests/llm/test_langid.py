@@ -64,3 +64,58 @@ def test_nothing_to_learn_and_empty_table(documents):
     got = L.identify(documents(["some text", None], lang=[None, None])).collect()
     assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)] * 2
     assert L.identify(documents(["x"]).limit(0)).count() == 0
+
+
+def test_more_languages_than_are_learned(documents):
+    texts = [w * 6 for w in ("aaa bbb ", "ccc ddd ", "eee fff ", "ggg hhh ")] * 8
+    langs = ["p", "q", "r", "s"] * 8
+    docs = documents(texts + ["aaa bbb aaa"], lang=langs + ["z"])
+    model = L.train(docs.where("lang IS NOT NULL"), most=3)
+    assert model[0] == ["p", "q", "r"]  # of equally frequent ones the first
+    got = L.predict(docs.withColumn("held_out", F.lit(False)), model).collect()
+    assert {r["lang_pred"] for r in got} <= {"p", "q", "r"} and len(got) == 33
+    many = documents([f"text {i}" for i in range(60)], lang=[f"l{i:02d}" for i in range(60)])
+    few = L.train(many, most=7)
+    assert len(few[0]) == 7 and len(L.predict(many.withColumn("held_out", F.lit(True)), few).collect()) == 60
+
+
+def test_training_sees_the_same_segments_cut_early_or_late(documents):
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abc dé"), rng.integers(1, 900))) + "a" for _ in range(20)]
+    labels = [i % 2 for i in range(20)]
+    whole = L.fit(texts, labels, 2, steps=3)
+    cut = [L.picked_segments(t) for t in texts]
+    again = L.fit_segments(np.concatenate([d for d, _ in cut]), np.concatenate([n for _, n in cut]), np.repeat(labels, [len(n) for _, n in cut]), 2, steps=3)
+    assert all((whole.params[k] == again.params[k]).all() for k in whole.params)
+
+
+def test_predictions_equal_a_plain_walk_over_bytes(documents):
+    """One byte at a time, one document at a time, in double precision."""
+    english, german = "the thing with this and that ", "der die das und nicht eine "
+    texts = [english * 9, german * 9] * 6 + ["é the", english * 40 + german, "x"]
+    docs = documents(texts, lang=["en", "de"] * 6 + [None] * 3).withColumn("held_out", F.lit(False))
+    model = L.train(docs.where("lang IS NOT NULL"))
+    p = {k: v.astype(np.float64) for k, v in model[1].params.items()}
+    n = model[1].hidden
+    soft = lambda v: v / (1 + np.abs(v))
+
+    def states(raw, d):
+        h, out = np.zeros(n), []
+        for byte in raw if d == "f" else raw[::-1]:
+            a, r = p[f"x{d}"][byte], h @ p[f"u{d}"] + p[f"c{d}"]
+            z, reset = (0.5 + 0.5 * soft(a[k * n : (k + 1) * n] + r[k * n : (k + 1) * n]) for k in (0, 1))
+            h = z * h + (1 - z) * soft(a[2 * n :] + reset * r[2 * n :])
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    for r in L.predict(docs, model).collect():
+        raw = texts[r["doc_id"]].encode()
+        total = np.zeros(2)
+        for at in range(0, len(raw), L.SEGMENT):
+            part = raw[at : at + L.SEGMENT]
+            for f, b in zip(states(part, "f"), states(part, "b"), strict=True):
+                y = np.concatenate([f, b]) @ p["o"] + p["oc"]
+                y = np.exp(y - y.max())
+                total += y / y.sum()
+        share = total / len(raw)
+        assert r["lang_pred"] == model[0][int(share.argmax())] and r["score"] == pytest.approx(share.max(), abs=2e-4)

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import rows_where
-from storelens.sources.files import Tables
+from storelens.sources.files import Tables, overwrite_table
 from storelens.sources.schemas import COMPOSITE_KEYS, REFERENCES, SINGLE_KEYS, TABLES
 
 
@@ -237,12 +237,18 @@ def date_range(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("first"), F.max(column).alias("last"))
 
 
-def table_profile(df: DataFrame, name: str) -> DataFrame:
-    """Null, range and chronology violations of one table in a single pass over it."""
-    rules = {("nulls", f"{name}.{c}"): F.col(c).isNull() for c in NULL_PROFILES[name]}
+def _profile_rules(name: str) -> dict[tuple[str, str], Column]:
+    """The null, range and chronology rules of a table by (check, subject)."""
+    rules = {("nulls", f"{name}.{c}"): F.col(c).isNull() for c in NULL_PROFILES.get(name, ())}
     rules |= {("ranges", rule): broken for rule, broken in range_rules().get(name, {}).items()}
     if name == "orders":
         rules |= {("chronology", f"{a} < {b}"): F.col(a) < F.col(b) for a, b in CHRONOLOGY_PAIRS}
+    return rules
+
+
+def table_profile(df: DataFrame, name: str) -> DataFrame:
+    """Null, range and chronology violations of one table in a single pass over it."""
+    rules = _profile_rules(name)
     counted = df.agg(*[rows_where(broken).alias(f"r{i}") for i, broken in enumerate(rules.values())])
     labelled = F.array(
         *[
@@ -253,6 +259,25 @@ def table_profile(df: DataFrame, name: str) -> DataFrame:
     return counted.select(F.inline(labelled))
 
 
+def write_profiled(tables: Tables, folder: str) -> DataFrame:
+    """Write the tables as ``write_tables`` does, and count on the way what ``table_profile`` counts.
+
+    (check, subject, violations), with a check ``rows`` per table. The counters ride on the write
+    itself, right before it, so no table is read a second time.
+    """
+    found = []
+    for name, df in tables.items():
+        rules = _profile_rules(name)
+        seen = Observation(f"profile of {name}")
+        counters = [rows_where(broken).alias(f"r{i}") for i, broken in enumerate(rules.values())]
+        overwrite_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *counters), f"{folder}/{name}")
+        counts = seen.get
+        found.append(("rows", name, counts["rows"]))
+        found += [(*rule, counts[f"r{i}"]) for i, rule in enumerate(rules)]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(found, "check string, subject string, violations long")
+
+
 # --- across tables ------------------------------------------------------------------
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.operators import audit, customers, kpi, mart
 from storelens.operators.customers import rfm_ntile, rfm_segments
+from storelens.operators.key_checks import key_checks
 from storelens.sources.files import Tables
 
 
@@ -42,21 +43,9 @@ def register_views(t: Tables) -> list[str]:
 
 
 def audit_report(t: Tables) -> DataFrame:
-    """All counting checks as (check, subject, violations).
+    """All counting checks as (check, subject, violations), in two passes over each table.
 
-    Null, range and chronology checks share one pass per table.
+    Checks on keys share one reduction; null, range and chronology checks share one pass per table.
     """
-
-    def part(check: str, df: DataFrame, subject: Column, violations: str) -> DataFrame:
-        return df.select(F.lit(check).alias("check"), subject.alias("subject"), F.col(violations).alias("violations"))
-
-    people = audit.conflicting(t["customers"], "customer_unique_id", "customer_state")
-    return audit.stack(
-        [
-            part("duplicate keys", audit.audit_dup_summary(t), F.concat_ws(".", "tbl", "key"), "dup_groups"),
-            part("orphans", audit.audit_orphans(t), F.col("reference"), "orphan_count"),
-            *[audit.table_profile(t[name], name) for name in audit.NULL_PROFILES],
-            part("reconciliation", audit.audit_reconcile(t), F.lit("order amounts"), "mismatched"),
-            part("conflicting attributes", people, F.lit("customer_state"), "conflicting"),
-        ]
-    )
+    keys = key_checks(t).filter(F.col("check") != "several children").select("check", "subject", "violations")
+    return audit.stack([keys, *[audit.table_profile(t[name], name) for name in audit.NULL_PROFILES]])

@@ -11,7 +11,8 @@ balls around them that are too far apart to link are left out, by the angles of
 compared with itself, block by block, so its lists grow to all their links; only their numbers are kept.
 An audit compares a sample of vectors with all others. The sample grows until enough of its vectors have a few
 links, to a bound; the least recall of the group sizes counts. While it is below what is wanted, or the sample shows too few links to tell, the
-lists are doubled and the rounds go on. The number of hash tables follows the number of hash bits.
+lists are doubled and the rounds go on; if the last lists fall short too, each label is compared with itself, block by
+block. The number of hash tables follows the number of hash bits.
 
 Vectors link within one label and dimension only. Equal vectors of a label are one node with a multiplicity.
 All rows move through Spark; numpy works on groups of bounded size.
@@ -291,8 +292,8 @@ def _between(members: DataFrame, threshold: float, ws: Workspace) -> DataFrame:
     return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(link, "a long, b long")
 
 
-def _inside(members: DataFrame, threshold: float) -> DataFrame:
-    """node, links: of the members (comp, dim, node, times, vec) of each component with each other, block by block."""
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """comp, i, j, block, node, times, vec: the members of each component in blocks, a copy for each block they meet, pairs together."""
     sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     m = members.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -300,6 +301,11 @@ def _inside(members: DataFrame, threshold: float) -> DataFrame:
     m = m.select("comp", "own", "node", "times", "vec", other.alias("other"))
     least, most = F.least("own", "other"), F.greatest("own", "other")
     m = m.select("comp", least.alias("i"), most.alias("j"), F.col("own").alias("block"), "node", "times", "vec")
+    return m.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+
+
+def _inside(members: DataFrame, threshold: float) -> DataFrame:
+    """node, links: of the members (comp, dim, node, times, vec) of each component with each other, block by block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["comp", "i", "j"]):
@@ -320,10 +326,59 @@ def _inside(members: DataFrame, threshold: float) -> DataFrame:
                     links[there] += times[part] @ near
             yield pa.record_batch([pa.array(ids), pa.array(links)], names=["node", "links"])
 
-    counted = m.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(count, "node long, links long")
+    counted = _block_pairs(members).mapInArrow(count, "node long, links long")
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a symmetric link matrix: one tree per component, breadth first."""
+    left, a, b = np.ones(len(near), bool), [], []
+    for start in range(len(near)):
+        front = np.array([start]) if left[start] else np.array([], np.int64)
+        left[start] = False
+        while len(front):
+            rows = near[front] & left
+            new = np.flatnonzero(rows.any(axis=0))
+            a.append(front[rows[:, new].argmax(axis=0)])
+            b.append(new)
+            left[new] = False
+            front = new
+    none = [np.array([], np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
+def every_link(nodes: DataFrame, threshold: float, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(a, b) joining whatever links join, and (node, links): exact, by comparing each label with itself block by block.
+
+    The work grows with the square of a label's vectors; a task holds two blocks and sends counts and a forest, not the pairs.
+    """
+    comp = nodes.groupBy("label", "dim").agg(F.min("node").alias("comp"))
+    members = nodes.join(comp, ["label", "dim"]).select("comp", "node", "times", "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["comp", "i", "j"]):
+            v, ids, times = _stack(group["vec"], "<f8"), group["node"].to_numpy(), group["times"].to_numpy()
+            # Pairs inside a block belong to the group in which it meets itself.
+            block, own = group["block"].to_numpy(), group["i"][0].as_py() == group["j"][0].as_py()
+            near = np.empty((len(v), len(v)), bool)
+            for at in range(0, len(v), 256):
+                near[at : at + 256] = v[at : at + 256] @ v.T >= threshold
+                if not own:
+                    near[at : at + 256] &= block[at : at + 256, None] != block[None, :]
+            np.fill_diagonal(near, False)
+            # Rounding may differ by the side a pair is seen from.
+            near |= near.T
+            links = np.array([row @ times for row in near], np.int64)
+            a, b = _forest(near)
+            nothing = pa.nulls(len(a), pa.int64())
+            yield pa.record_batch([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(links)], names=["node", "other", "links"])
+            yield pa.record_batch([pa.array(ids[a]), pa.array(ids[b]), nothing], names=["node", "other", "links"])
+
+    found = ws.keep(_block_pairs(members).mapInArrow(run, "node long, other long, links long"))
+    pairs = found.where(F.col("other").isNotNull()).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    return pairs, found.where(F.col("other").isNull()).groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def tables_for(nodes: DataFrame, tables: int, threshold: float) -> int:
     """``tables``, or more where the labels' hashes are so long that a pair at the threshold would often miss."""
     most = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
@@ -393,9 +448,14 @@ def near_duplicates(
     tables: int = TABLES,
     rounds: int = ROUNDS,
     recall: float = RECALL,
+    exact: bool = True,
     workspace: Workspace | None = None,
 ) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label); ``audited_recall`` (null: too few links seen) as well."""
+    """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label); ``audited_recall`` as well.
+
+    Where the audit still finds less than ``recall``, or too few links to tell, after the last enlargement, each label is
+    compared with itself (recall 1). With ``exact=False`` the lists' result stands then, its recall low or null.
+    """
     ws = Workspace.of(rows.sparkSession, workspace)
     rows = rows.select("vec_id", "embedding", "label").withColumn("good", usable(F.col("embedding")) & F.col("label").isNotNull())
     nodes = nodes_of(rows.where("good"), ws)
@@ -426,6 +486,10 @@ def near_duplicates(
         if reached is not None and reached >= recall:
             break
         k *= 2
+    else:
+        if exact:
+            pairs, links = every_link(nodes, threshold, ws)
+            named, reached = ws.keep(components(pairs, ws)), 1.0
     least = named.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     classes = named.join(least, "root").select("node", "component")
     known = nodes.select("node", "label", "embedding", "times", "least").join(links, "node", "left").join(classes, "node", "left")

@@ -130,3 +130,34 @@ def test_audit_looks_until_it_has_seen_small_groups(spark, ws, monkeypatch):
 def test_longer_hashes_get_more_tables(spark):
     nodes = lambda n: spark.range(n).select(F.lit(1).alias("label"), F.lit(8).alias("dim"))
     assert [N.tables_for(nodes(n), N.TABLES, N.THRESHOLD) for n in (0, 16, 10_000, 1_000_000)] == [4, 4, 8, 17]
+
+
+def test_a_forest_joins_what_links_join():
+    rng = np.random.default_rng(8)
+    for share in (0.0, 0.01, 0.05, 0.5):
+        near = np.triu(rng.random((60, 60)) < share, 1)
+        near |= near.T
+        a, b = N._forest(near)
+        assert near[a, b].all()
+        reach = lambda m: np.linalg.matrix_power((m | np.eye(60, dtype=bool)).astype(float), 60) > 0
+        tree = np.zeros_like(near)
+        tree[a, b] = tree[b, a] = True
+        assert (reach(tree) == reach(near)).all()
+        # A forest: as many edges as vectors less components.
+        assert len(a) == 60 - len({tuple(r) for r in reach(near)})
+
+
+@pytest.mark.parametrize("audited", [0.5, None])
+def test_labels_are_compared_whole_where_lists_fall_short(spark, ws, monkeypatch, audited):
+    monkeypatch.setattr(N, "audit", lambda *_: audited)
+    monkeypatch.setattr(N, "ENLARGEMENTS", 0)
+    # Lists that find nothing at all.
+    empty = lambda *_: (spark.createDataFrame([], "src long, dst long, sim float"), spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(N, "descend", empty)
+    monkeypatch.setattr(N, "BLOCK", 30)
+    rows = clusters(np.random.default_rng(9), [1] * 60 + [2] * 20 + [5] * 5 + [90])
+    rows += [(len(rows) + k, rows[k][1], rows[k][2]) for k in range(20)]
+    check(spark, ws, rows)
+    short = N.near_duplicates(spark.createDataFrame(rows, SCHEMA), exact=False, workspace=ws).collect()
+    assert {r["audited_recall"] for r in short} == {audited}
+    assert sum(r["n_links"] for r in short) < sum(n for n, _ in want(rows).values())

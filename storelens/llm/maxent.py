@@ -7,8 +7,9 @@ counts, plus the weights of the active features. P(word | code) comes from the c
 Features of a history: the code before (n-gram), the code two before (skip), and both together, hashed into
 a table of fixed size. So the model has a fixed number of weights, however long the corpus is.
 
-Training is by distributed gradient updates: in each, every task sums observed and expected feature counts
-of its texts under the current weights, the sums are added up by blocks of weights, and each weight moves along
+Training is by distributed gradient updates. The training text is taken apart once and stored as counts of
+different contexts with the code that followed; in each update, every task sums observed and expected feature counts
+of its contexts under the current weights, the sums are added up by blocks of weights, and each weight moves along
 the difference, scaled by its expected count and damped by a logarithm. All training text takes part in
 every update.
 
@@ -49,7 +50,7 @@ UPDATES = 2
 #: Share of a full step of each update, and pseudo-counts that hold a row to the current model.
 STEP, DAMP = 0.5, 60.0
 BLOCKS = 64
-#: Tokens taken apart at once, words a Python worker keeps, tokens counted together, contexts per numpy step.
+#: Tokens taken apart at once, words a Python worker keeps, tokens whose triples are counted together, contexts per numpy step.
 BATCH, CACHE, PORTION, STRIP = 100_000, 300_000, 2_000_000, 8_192
 #: Training tokens per task of an update.
 TASK_TOKENS = 6_000_000
@@ -228,32 +229,44 @@ def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     into[ordered[first]] += np.add.reduceat(values.take(order, axis=0), first, axis=0)
 
 
-class Gradient:
-    """Observed and expected counts of all weights, under ``model``.
+class Triples:
+    """Texts as counts of different (two codes before, code) triples, in portions.
 
-    Texts are gathered as counts of different (two codes before, code) triples, in portions: features
-    depend on nothing else, so a context that repeats is worked out once.
+    Features depend on nothing else, so a context that repeats is worked out once.
     """
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.seen, self.expected = np.zeros(ROWS * MEMBERS, np.float32), np.zeros((ROWS, MEMBERS), np.float32)
+    def __init__(self) -> None:
         self.held: list[np.ndarray] = []
         self.size = 0
 
     def add(self, codes: np.ndarray, starts: np.ndarray) -> None:
         one, two = _contexts(codes, starts)
-        self.held.append((one * (CODES + 1) + two) * CODES + codes)
+        # Below 2^31.
+        self.held.append(((one * (CODES + 1) + two) * CODES + codes).astype(np.int32))
         self.size += len(codes)
-        if self.size >= PORTION:
-            self.flush()
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """The triples in order, and how often each one occurred."""
+        triple, times = np.unique(np.concatenate([*self.held, np.empty(0, np.int32)]), return_counts=True)
+        self.held, self.size = [], 0
+        return triple, times
+
+
+class Gradient(Triples):
+    """Observed and expected counts of all weights, under ``model``."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+        self.seen, self.expected = np.zeros(ROWS * MEMBERS, np.float32), np.zeros((ROWS, MEMBERS), np.float32)
 
     def flush(self) -> None:
-        if not self.held:
+        self.learn(*self.take())
+
+    def learn(self, triple: np.ndarray, times: np.ndarray) -> None:
+        if not len(triple):
             return
-        triple, times = np.unique(np.concatenate(self.held), return_counts=True)
-        self.held, self.size = [], 0
-        times = times.astype(np.float32)
+        triple, times = triple.astype(np.int64), times.astype(np.float32)
         code = triple % CODES
         first, second = self.model.prior
         self._level(triple // CODES, code // MEMBERS, times, lambda pair: (pair, 0), lambda pair: first)
@@ -294,21 +307,41 @@ def _from_upper_half(x: bytes) -> np.ndarray:
     return (np.frombuffer(x, np.uint16).astype(np.uint32) << 16).view(np.float32)
 
 
-def update(docs: DataFrame, model: Model, step: float = STEP, damp: float = DAMP) -> np.ndarray:
-    """The weights after one gradient update over all training text."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(model)
-    size = ROWS // BLOCKS
+def gather(docs: DataFrame, own: dict[int, int]) -> DataFrame:
+    """triple, times: the triples of the training text as 32-bit numbers, one portion of text a row."""
+    shared = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        words, total = Words(m.own), Gradient(m)
+        words, held = Words(shared.value), Triples()
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in held.take()]
+            return pa.record_batch(columns, names=["triple", "times"])
+
         for batch in batches:
             batch = batch.filter(pa.compute.invert(batch["held"]))
             for lo, hi in text_batches(batch):
                 ids, starts = words.take(_bytes(batch["text"][lo:hi]))
-                total.add(words.codes[ids], starts)
-        total.flush()
+                held.add(words.codes[ids], starts)
+                if held.size >= PORTION:
+                    yield flush()
+        if held.size:
+            yield flush()
+
+    return docs.select("text", "held").mapInArrow(run, "triple binary, times binary")
+
+
+def update(gathered: DataFrame, model: Model, step: float = STEP, damp: float = DAMP) -> np.ndarray:
+    """The weights after one gradient update over all training text, as ``gather`` stored it."""
+    spark = gathered.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    size = ROWS // BLOCKS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Gradient(shared.value)
+        for batch in batches:
+            for triple, times in zip(batch["triple"], batch["times"], strict=True):
+                total.learn(*(np.frombuffer(x.as_buffer(), np.int32) for x in (triple, times)))
         seen = total.seen.reshape(ROWS, MEMBERS)
         for b in range(BLOCKS):
             part = slice(b * size, (b + 1) * size)
@@ -317,9 +350,9 @@ def update(docs: DataFrame, model: Model, step: float = STEP, damp: float = DAMP
 
     # A task's gradient has a fixed size, so a task takes much text, and their number follows the text.
     tasks = max(1, -(-model.tokens // TASK_TOKENS))
-    sums = docs.select("text", "held").coalesce(tasks).mapInArrow(run, "block int, seen binary, expected binary").rdd
+    sums = gathered.coalesce(tasks).mapInArrow(run, "block int, seen binary, expected binary").rdd
     sums = sums.map(lambda r: (r[0], (bytes(r[1]), bytes(r[2]))))
-    parts = min(BLOCKS // 4, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = min(BLOCKS // 4, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def add_up(rows: Iterator[tuple[int, tuple[bytes, bytes]]]) -> Iterator[tuple[int, np.ndarray]]:
         """What came over the shuffle in 16 bits is added up in 64, one block after another."""
@@ -340,7 +373,7 @@ def update(docs: DataFrame, model: Model, step: float = STEP, damp: float = DAMP
     return weights
 
 
-def train(docs: DataFrame, counts: DataFrame, updates: int = UPDATES, step: float = STEP) -> Model:
+def train(docs: DataFrame, counts: DataFrame, ws: Workspace, updates: int = UPDATES, step: float = STEP) -> Model:
     """A model of (text, held) rows, and of the stored table of their counts."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # The lowest count with at most HEAD words at or above it, in steps of an eighth of an octave.
@@ -366,8 +399,11 @@ def train(docs: DataFrame, counts: DataFrame, updates: int = UPDATES, step: floa
         code_n[own[h]], code_types[own[h]] = c, 1
     order = np.argsort(hashes, kind="stable")
     model = Model(int(total[0]), int(total[1]), hashes[order], n[order], words == total[1], own, code_n, code_types, np.zeros((ROWS, MEMBERS), np.float32))
-    for _ in range(updates if total[0] else 0):
-        model.weights = update(docs, model, step)
+    if total[0] and updates:
+        gathered = ws.keep(gather(docs, own))
+        for _ in range(updates):
+            model.weights = update(gathered, model, step)
+        ws.drop(ws.last)
     return model
 
 
@@ -428,7 +464,7 @@ def score(docs: DataFrame, *, updates: int = UPDATES, step: float = STEP, worksp
     ws = Workspace.of(docs.sparkSession, workspace)
     d = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held"))
     counts = ws.keep(count_words(d))
-    model = train(d, counts, updates, step)
+    model = train(d, counts, ws, updates, step)
     # Written, so that a row keeps its number.
     scored = ws.keep(_score_texts(d, model).withColumn("row", F.monotonically_increasing_id()))
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.hash", F.col("t.n").alias("times"))

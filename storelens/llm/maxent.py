@@ -212,11 +212,24 @@ def log_probabilities(model: Model, codes: np.ndarray, starts: np.ndarray) -> np
     one, two = _contexts(codes, starts)
     first, second = model.prior
     out = np.empty(len(codes))
-    for at in range(0, len(codes), STRIP):
-        part = slice(at, at + STRIP)
-        cls, member, each = codes[part] // MEMBERS, codes[part] % MEMBERS, np.arange(len(codes[part]))
-        p = _softmax(model.weights, _rows(one[part], two[part], 0), first)[each, cls]
-        p = p.astype(np.float64) * _softmax(model.weights, _rows(one[part], two[part], 1 + cls), second[cls])[each, member]
+    place = np.empty((CODES + 1) ** 2, np.int32)
+    for at in range(0, len(codes), BATCH):
+        part = slice(at, at + BATCH)
+        a, b, cls, member = one[part], two[part], codes[part] // MEMBERS, codes[part] % MEMBERS
+        # Classes depend on the two codes before alone: once for each different pair, which its last token stands for.
+        pair, each = a * (CODES + 1) + b, np.arange(len(a), dtype=np.int32)
+        place[pair] = each
+        last = np.flatnonzero(place[pair] == each)
+        place[pair[last]] = np.arange(len(last), dtype=np.int32)
+        classes = np.empty((len(last), CLASSES), np.float32)
+        for lo in range(0, len(last), STRIP):
+            own = last[lo : lo + STRIP]
+            classes[lo : lo + STRIP] = _softmax(model.weights, _rows(a[own], b[own], 0), first)
+        p = classes[place[pair], cls].astype(np.float64)
+        for lo in range(0, len(a), STRIP):
+            s = slice(lo, lo + STRIP)
+            members = _softmax(model.weights, _rows(a[s], b[s], 1 + cls[s]), second[cls[s]])
+            p[s] *= members[each[: len(members)], member[s]]
         out[part] = np.log10(p)
     return out
 
@@ -226,7 +239,20 @@ def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     order = np.argsort((rows - rows.min()).astype(np.uint16), kind="stable")
     ordered = rows[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    into[ordered[first]] += np.add.reduceat(values.take(order, axis=0), first, axis=0)
+    if 4 * len(first) < len(rows):
+        into[ordered[first]] += np.add.reduceat(values.take(order, axis=0), first, axis=0)
+        return
+    # Most rows occur once or twice: add all first values, then all second ones, and the few long runs one by one.
+    times = np.diff(np.append(first, len(rows)))
+    total, depth = values.take(order[first], axis=0), 1
+    left = np.flatnonzero(times > 1)
+    while 64 * len(left) > len(rows):
+        total[left] += values.take(order[first[left] + depth], axis=0)
+        depth += 1
+        left = left[times[left] > depth]
+    for i in left.tolist():
+        total[i] += values.take(order[first[i] + depth : first[i] + times[i]], axis=0).sum(axis=0)
+    into[ordered[first]] += total
 
 
 class Triples:

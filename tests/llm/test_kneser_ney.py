@@ -136,3 +136,26 @@ def test_edge_cases(spark, documents, ws):
     none = K.judge(docs, labels.limit(0), workspace=ws).collect()
     assert all(r["threshold"] is None and r["kept"] == (r["perplexity"] is not None) for r in none)
     assert K.judge(docs.limit(0), labels, workspace=ws).count() == 0
+
+
+def test_the_whole_half_teaches(spark, documents, ws):
+    """More documents than any former bound of 20,000 that may teach."""
+    n = 45_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 97).alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    half = docs.where(F.xxhash64("doc_id") < 0)
+    assert half.count() > 20_000
+    got = {r["text"]: r["log_prob"] for r in K.judge(docs, labels, workspace=ws).join(docs, "doc_id").select("text", "log_prob").distinct().collect()}
+    model = Brute([r["text"].encode() for r in half.collect()])
+    for text in ("w0", "w42", "w96"):
+        assert got[text] == pytest.approx(sum(math.log(model.p(g)) for g in model.events(text.encode())), rel=1e-9)
+
+
+def test_blocks_and_batches_give_the_same_grams(monkeypatch):
+    texts = ["a b  cd\tefghij k", None, "", " \n", "  été\x85 à", "x" * 50, "a  ", "\x0b"]
+    want = [(k, i) for i, t in enumerate(texts) for k in K.grams_of(K.units_of((t or "").encode()))[0].tolist()]
+    assert [(k, i) for key, text in K.grams_in(texts) for k, i in zip(key.tolist(), text.tolist(), strict=True)] == want
+    monkeypatch.setattr(K, "BLOCK", 7)
+    for i, t in enumerate(texts):
+        assert [k for key, _ in K.grams_in([t]) for k in key.tolist()] == [k for k, j in want if j == i]
+    assert list(K.grams_in([])) == [] or all(not len(k) for k, _ in K.grams_in([]))

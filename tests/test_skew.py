@@ -124,3 +124,17 @@ def test_hot_join_key_is_split_at_run_time(spark, hot):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_merged_partitions_do_not_grow_with_the_rows(spark):
+    """A task's hash table or sort holds the keys of one merged partition: 8 MB of them, not a task's share of all."""
+    rows = spark.range(5_000_000).select(F.xxhash64("id").alias("order_id"), F.xxhash64("id", F.lit(1)).alias("order_item_id"))
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        keys = rows.groupBy("order_id", "order_item_id").agg(F.count(F.lit(1)).alias("cnt"))
+        each = keys.where("cnt > 0").groupBy(F.spark_partition_id().alias("part")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+    assert sum(r["count"] for r in each) == 5_000_000
+    assert max(r["count"] for r in each) < 500_000

@@ -26,12 +26,13 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Numbering, Workspace
@@ -52,6 +53,8 @@ STEP, DAMP = 0.5, 60.0
 BLOCKS = 64
 #: Tokens taken apart at once, words a Python worker keeps, tokens whose triples are counted together, contexts per numpy step.
 BATCH, CACHE, PORTION, STRIP = 100_000, 300_000, 2_000_000, 8_192
+#: Triples of a stored row, and rows that an update learns from at once: so much of a portion is in memory.
+ROW, ROWS_AT_ONCE = 1 << 15, 8
 #: Training tokens per task of an update.
 TASK_TOKENS = 6_000_000
 END = b"\n"  # no word holds white space
@@ -334,15 +337,16 @@ def _from_upper_half(x: bytes) -> np.ndarray:
 
 
 def gather(docs: DataFrame, own: dict[int, int]) -> DataFrame:
-    """triple, times: the triples of the training text as 32-bit numbers, one portion of text a row."""
+    """triple, times: the triples of the training text as 32-bit numbers, at most ROW of a portion of text a row."""
     shared = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held = Words(shared.value), Triples()
 
-        def flush() -> pa.RecordBatch:
-            columns = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in held.take()]
-            return pa.record_batch(columns, names=["triple", "times"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns = [x.astype(np.int32) for x in held.take()]
+            for lo in range(0, len(columns[0]), ROW):
+                yield pa.record_batch([pa.array([x[lo : lo + ROW].tobytes()], pa.binary()) for x in columns], names=["triple", "times"])
 
         for batch in batches:
             batch = batch.filter(pa.compute.invert(batch["held"]))
@@ -350,47 +354,61 @@ def gather(docs: DataFrame, own: dict[int, int]) -> DataFrame:
                 ids, starts = words.take(_bytes(batch["text"][lo:hi]))
                 held.add(words.codes[ids], starts)
                 if held.size >= PORTION:
-                    yield flush()
+                    yield from flush()
         if held.size:
-            yield flush()
+            yield from flush()
 
     return docs.select("text", "held").mapInArrow(run, "triple binary, times binary")
 
 
+@contextmanager
+def _rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plans run inside pass rows to Python in batches of at most ``rows``: for rows of some 100 KB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def update(gathered: DataFrame, model: Model, step: float = STEP, damp: float = DAMP) -> np.ndarray:
     """The weights after one gradient update over all training text, as ``gather`` stored it."""
     spark = gathered.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    size = ROWS // BLOCKS
+    size, names, fields = ROWS // BLOCKS, ["block", "seen", "expected"], "block int, seen binary, expected binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Gradient(shared.value)
         for batch in batches:
-            for triple, times in zip(batch["triple"], batch["times"], strict=True):
-                total.learn(*(np.frombuffer(x.as_buffer(), np.int32) for x in (triple, times)))
+            total.learn(*(np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in batch[n]]) for n in ("triple", "times")))
         seen = total.seen.reshape(ROWS, MEMBERS)
         for b in range(BLOCKS):
             part = slice(b * size, (b + 1) * size)
             if total.expected[part].any():
-                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([_upper_half(seen[part])], pa.binary()), pa.array([_upper_half(total.expected[part])], pa.binary())], names=["block", "seen", "expected"])
-
-    # A task's gradient has a fixed size, so a task takes much text, and their number follows the text.
-    tasks = max(1, -(-model.tokens // TASK_TOKENS))
-    sums = gathered.coalesce(tasks).mapInArrow(run, "block int, seen binary, expected binary").rdd
-    sums = sums.map(lambda r: (r[0], (bytes(r[1]), bytes(r[2]))))
-    parts = min(BLOCKS // 4, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([_upper_half(seen[part])], pa.binary()), pa.array([_upper_half(total.expected[part])], pa.binary())], names=names)
 
-    def add_up(rows: Iterator[tuple[int, tuple[bytes, bytes]]]) -> Iterator[tuple[int, np.ndarray]]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What came over the shuffle in 16 bits is added up in 64, one block after another."""
         total: dict[int, np.ndarray] = {}
-        for b, pair in rows:
-            total[b] = total.get(b, 0) + np.stack([_from_upper_half(x).astype(np.float64) for x in pair])
-        yield from total.items()
+        for batch in batches:
+            for b, *pair in zip(*(batch[n] for n in names), strict=True):
+                block = b.as_py()
+                total[block] = total.get(block, 0) + np.stack([_from_upper_half(x.as_buffer()).astype(np.float64) for x in pair])
+        for b, pair in total.items():
+            yield pa.record_batch([pa.array([b], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in pair]], names=names)
 
+    # A task's gradient has a fixed size, so a task takes much text, and their number follows the text.
+    tasks = max(1, -(-model.tokens // TASK_TOKENS))
+    parts = min(BLOCKS // 4, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    sums = gathered.coalesce(tasks).mapInArrow(run, fields).repartitionById(parts, F.col("block") % parts).mapInArrow(add_up, fields)
     weights = model.weights.copy()
     # The whole table comes back: a fixed number of weights.
-    for b, (seen, expected) in sums.partitionBy(parts).mapPartitions(add_up).collect():
-        seen, expected = seen.reshape(size, MEMBERS), expected.reshape(size, MEMBERS)
+    with _rows_a_batch(spark, ROWS_AT_ONCE):
+        added = sums.collect()
+    for b, *pair in added:
+        seen, expected = (np.frombuffer(x).reshape(size, MEMBERS) for x in pair)
         n = expected.sum(axis=1, keepdims=True)
         q = expected / np.maximum(n, 1e-30)
         move = step * np.log((seen + damp * q + 1e-12) / (expected + damp * q + 1e-12))

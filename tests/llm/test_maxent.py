@@ -99,6 +99,22 @@ def test_gradient_matches_a_sum_over_tokens():
     assert np.allclose(total.expected, expected, atol=1e-4)
 
 
+def test_a_portion_is_stored_and_learnt_from_in_small_rows(spark, documents, ws, monkeypatch):
+    """Else a task holds millions of triples at once, several times over."""
+    monkeypatch.setattr(M, "ROW", 100)
+    docs = documents([f"w{i % 31} w{i % 37} w{i % 41} w{i}" for i in range(600)]).withColumn("held", F.lit(False))
+    own = {}
+    found = [(np.frombuffer(r["triple"], np.int32), np.frombuffer(r["times"], np.int32)) for r in M.gather(docs.coalesce(1), own).collect()]
+    assert len(found) > 5 and max(len(t) for t, _ in found) <= 100
+    assert all(len(t) == len(n) for t, n in found) and sum(n.sum() for _, n in found) == 5 * 600
+    # One update over small rows is the update over whole portions, and the session's setting is as before.
+    model, before = _small_model(np.zeros((M.ROWS, M.MEMBERS), np.float32)), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cut = M.update(ws.keep(M.gather(docs, own)), model)
+    monkeypatch.setattr(M, "ROW", 1 << 20)
+    assert np.abs(cut).max() > 0.01 and np.allclose(cut, M.update(ws.keep(M.gather(docs, own)), model), atol=1e-2)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_an_update_raises_the_likelihood_of_held_out_text(spark, ws):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     r = M.score(docs, workspace=ws).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()

@@ -250,6 +250,40 @@ def test_leaf_size_single_class_and_no_rows():
     assert none.feature.tolist() == [-1] and none.value.tolist() == [0.0]
 
 
+def test_forest_scores_equal_walks_tree_by_tree():
+    """Also of rows on a threshold, out of all ranges or not a number, in more than one block, and after few or no splits."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(2_000, 5)), 1)
+    x[:, 3] = 1.0
+    y = (x[:, 0] + rng.normal(size=len(x)) > 0).astype(int)
+    edges = forests.bin_edges(x)
+    trees = [forests.grow_tree(forests.binned(x, edges), y, edges, t) for t in range(6)]
+    trees += [trees[0].cut(0), trees[1].cut(3)]
+    rows = np.concatenate([x, rng.normal(0, 9, (forests.WALKERS, 5)), np.repeat(edges[0].astype(float), 5).reshape(-1, 5), [[np.nan] * 5, [np.inf] * 5]])
+    want = sum(t.walk(rows, [None])[0] for t in trees) / len(trees)
+    assert (forests.Forest(tuple(trees), 5).predict(rows) == want).all()
+    assert forests.Forest((), 5).predict(rows[:3]).tolist() == [0.0] * 3 and len(forests.Forest(tuple(trees), 5).predict(rows[:0])) == 0
+    walk = forests.Walk.of(trees, 5)
+    assert sum(n.nbytes + v.nbytes for n, v in zip(walk.nodes, walk.values, strict=True)) == 12 * sum(len(t.feature) for t in trees)
+
+
+def test_split_and_scoring_build_the_mart_once(spark, star_dir, monkeypatch):
+    from storelens.plans import queries
+    from storelens.session import stored
+
+    made, plain = [], queries._mart_for
+    monkeypatch.setattr(queries, "_mart_for", lambda *a, **k: made.append(a) or plain(*a, **k))
+    grid, tune = {"numTrees": (2,), "maxDepth": (3,), "minInstancesPerNode": (1,)}, risk.tune_rf
+    monkeypatch.setattr(risk, "tune_rf", lambda train, encoding: tune(train, encoding, grid, rows=200))
+    with stored(spark):
+        scored = queries.QUERIES["order_risk_scores"](spark, star_dir)
+        every = queries.feats.features(plain(queries.feats.features, queries.tables(spark, star_dir)), unreviewed="negative")
+        assert sorted(rows_of(scored, "order_id")) == sorted(rows_of(every, "order_id")) and len(made) == 1
+        train, test = queries._split(spark, star_dir)
+        alone = queries.feats.stratified_split(queries._feature_rows(queries.tables(spark, star_dir)))
+        assert sorted(rows_of(train.unionByName(test))) == sorted(rows_of(alone.select(*train.columns)))
+
+
 def test_bounded_training_rows(train):
     encoding = risk.Encoding.learn(train)
     small = risk.fit_rf(train, encoding, {"numTrees": 2}, rows=200)

@@ -120,7 +120,10 @@ def fit_lr(
     if balanced:
         lr = lr.setWeightCol("weight")
         train = with_weights(train)
-    return Pipeline(stages=[*stages, lr]).fit(train)
+    fitted = Pipeline(stages=[*stages, lr]).fit(train)
+    # The training summary holds the session, which no task can be sent once an observation was made in it.
+    fitted.stages[-1]._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
+    return fitted
 
 
 @dataclass(frozen=True)

@@ -250,6 +250,14 @@ def test_leaf_size_single_class_and_no_rows():
     assert none.feature.tolist() == [-1] and none.value.tolist() == [0.0]
 
 
+def test_regressions_score_after_an_observation(spark, train):
+    from pyspark.sql import Observation
+
+    seen = Observation("rows")
+    train.observe(seen, F.count(F.lit(1)).alias("rows")).collect()
+    assert seen.get["rows"] == len(risk.score_orders(risk.fit_lr(train), train).collect())
+
+
 def test_forest_scores_equal_walks_tree_by_tree():
     """Also of rows on a threshold, out of all ranges or not a number, in more than one block, and after few or no splits."""
     rng = np.random.default_rng(8)

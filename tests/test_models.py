@@ -300,6 +300,74 @@ def test_bounded_training_rows(train):
     assert all((a.threshold == b.threshold).all() for a, b in zip(small.forest.trees, again.forest.trees, strict=True))
 
 
+def _many_rows(spark, n):
+    """Features with many, few and two values, ids out of order that also repeat or are null."""
+    x = [(F.xxhash64("id", F.lit(i)) % m).cast("double") / 4 for i, m in enumerate((10_007, 50, 12, 2))]
+    noise = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(100))
+    key = F.when(F.col("id") % 1000 != 7, F.pmod(F.col("id") * 7919, F.lit(n - n // 10)))
+    return spark.range(n).select(
+        key.alias("order_id"), F.array(*x).alias("x"), ((x[1] > 4) & (noise < 60) | (noise < 10)).cast("int").alias("y"), F.pmod(F.xxhash64("id"), F.lit(3)).cast("int").alias("fold")
+    )
+
+
+def _in_order(df):
+    """Bins of all rows in the order in which forests read them, with edges, labels and folds."""
+    rows = df.collect()
+    edges = forests.bin_edges(np.array([r["x"] for r in rows]))
+    bins = forests.binned(np.array([r["x"] for r in rows]), edges)
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["order_id"] is not None, rows[i]["order_id"] or 0, bytes([*bins[i], rows[i]["y"], rows[i]["fold"]])))
+    return bins[order], edges, np.array([rows[i]["y"] for i in order]), np.array([rows[i]["fold"] for i in order])
+
+
+def test_the_grid_learns_from_all_rows(spark):
+    """More rows than the 50,000 that the search once drew."""
+    df = materialize(_many_rows(spark, 64_000))
+    bins, edges, y, fold = _in_order(df)
+    table = forests.packed(df, F.col("x"), "y", "order_id")
+    assert table.rows == 64_000 and all((a == b).all() for a, b in zip(table.edges, edges, strict=True))
+    hits = materialize(forests.grid_hits(table, trees=(2, 3), depths=(None, 4), leaves=(5,), folds=3))
+    # Every held-out row of label 1 is scored at each point of the grid.
+    assert {r["n"] for r in hits.groupBy("trees", "depth", "leaf").agg(F.sum("rows").alias("n")).collect()} == {y.sum()}
+    found = {(r["trees"], r["depth"]): r["cv_recall"] for r in forests.recalls(hits).collect()}
+    for depth in (None, 4):
+        alone = []
+        for out in range(3):
+            rest, held = fold != out, (fold == out) & (y == 1)
+            trees = [forests.grow_tree(bins[rest], y[rest], [np.arange(32.0)] * 4, t, min_leaf=5, max_depth=depth) for t in range(3)]
+            alone.append([np.mean(sum(t.walk(bins[held], [None])[0] for t in trees[:k]) / k > 0.5) for k in (2, 3)])
+        assert [found[k, -1 if depth is None else depth] for k in (2, 3)] == pytest.approx(np.mean(alone, axis=0).tolist(), abs=1e-12)
+
+
+def test_rows_drawn_and_grown_in_pieces_give_the_same_trees(monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(3_000, 6)), 1)
+    x[:, 4:] = rng.random((3_000, 2)) < 0.1
+    y = (x[:, 0] + rng.normal(size=len(x)) > 1).astype(int)
+    edges = forests.bin_edges(x)
+    grown = lambda: [forests.grow_tree(forests.binned(x, edges), y, edges, t, min_leaf=leaf) for t in range(3) for leaf in (1, 5)]
+    want = grown()
+    for name, value in {"PIECE": 50, "NODES_EACH": 7, "DRAWN": 64, "IN_MEMORY": 1000}.items():
+        monkeypatch.setattr(forests, name, value)
+    for a, b in zip(want, grown(), strict=True):
+        assert all((getattr(a, name) == getattr(b, name)).all() for name in forests._TYPES)
+
+
+def test_edges_and_folds_of_odd_tables(spark):
+    """Constant, infinite and few values; a fold without rows of label 1, and one without rows."""
+    rng = np.random.default_rng(12)
+    x = np.stack([np.ones(400), rng.choice([0.5, 1.5, np.inf, -np.inf], 400), np.repeat(rng.random(40), 10), rng.random(400).round(2)], axis=1)
+    fold, y = np.arange(400) % 2, (rng.random(400) < 0.4).astype(int)
+    y[fold == 1] = 0
+    df = spark.createDataFrame([(f"{i:03}", [*map(float, v)], int(k), int(f)) for i, (v, k, f) in enumerate(zip(x, y, fold, strict=True))], "id string, x array<double>, y int, fold int")
+    table = forests.packed(df.repartition(3), F.col("x"), "y", "id")
+    assert [e.tolist() for e in table.edges] == [e.tolist() for e in forests.bin_edges(x)]
+    hits = forests.grid_hits(table, trees=(2,), depths=(None,), leaves=(1,), folds=3)
+    per_fold = {r["fold"]: (r["rows"], r["hits"]) for r in hits.groupBy("fold").agg(F.sum("rows").alias("rows"), F.sum("hits").alias("hits")).collect()}
+    assert per_fold == {0: (y.sum(), 0), 1: (0, 0)} and one(forests.recalls(hits))["cv_recall"] == 0.0
+    none = forests.packed(df.limit(0), F.col("x"), "y", "id")
+    assert none.rows == 0 and forests.grid_hits(none, trees=(2,), depths=(None,), leaves=(1,), folds=3).count() == 0 and forests.grow(none, trees=2).count() == 0
+
+
 def test_cluster_names(spark):
     rows = [(0, 10, 100.0, 1.0, 50.0), (1, 5, 200.0, 1.0, 900.0), (2, 7, 150.0, 2.1, 60.0), (3, 9, 300.0, 1.0, 55.0)]
     columns = "cluster int, customers long, avg_recency double, avg_frequency double, avg_monetary double"

@@ -368,6 +368,49 @@ def test_edges_and_folds_of_odd_tables(spark):
     assert none.rows == 0 and forests.grid_hits(none, trees=(2,), depths=(None,), leaves=(1,), folds=3).count() == 0 and forests.grow(none, trees=2).count() == 0
 
 
+def _order_rows(spark, n):
+    """Rows for the risk model: orders with a category, a payment type, numeric features and a label."""
+    part = lambda i, m: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(m))
+    numeric = [(part(i, 997) / 8).cast("double").alias(c) for i, c in enumerate(feats.NUMERIC_V2)]
+    text = [F.concat(F.lit("c"), part(20, 3)).alias(feats.CATEGORY), F.concat(F.lit("p"), part(21, 2)).alias("payment_type")]
+    return spark.range(n).select(F.col("id").alias("order_id"), *numeric, *text, ((part(4, 997) > 700) & (part(22, 4) > 0)).cast("int").alias(feats.LABEL))
+
+
+def test_a_finished_forest_learns_from_all_rows(spark):
+    df = materialize(_order_rows(spark, 60_000))
+    encoding = risk.Encoding.learn(df)
+    model = risk.fit_rf(df, encoding, {"numTrees": 2, "maxDepth": 6})
+    rows = df.orderBy("order_id").select(risk.feature_array(encoding).alias("x"), feats.LABEL).collect()
+    x, y = np.array([r["x"] for r in rows]), np.array([r[feats.LABEL] for r in rows])
+    edges = forests.bin_edges(x)
+    for t, got in enumerate(model.forest.trees):
+        want = forests.grow_tree(forests.binned(x, edges), y, edges, t, max_depth=6)
+        assert all((getattr(got, name) == getattr(want, name)).all() for name in forests._TYPES)
+
+
+def test_a_forest_too_large_to_hold_scores_and_weighs_as_a_held_one(spark, tmp_path, monkeypatch):
+    df = materialize(_order_rows(spark, 3_000))
+    encoding = risk.Encoding.learn(df)
+    held = risk.fit_rf(df, encoding, {"numTrees": 5})
+    # Also rows that come twice, are not a number, are out of all ranges or of unknown kinds.
+    odd = df.limit(4).withColumns({feats.NUMERIC_V2[0]: F.lit(float("nan")), feats.NUMERIC_V2[1]: F.lit(1e9), "payment_type": F.lit("new")})
+    rows = materialize(df.unionByName(df.limit(100)).unionByName(odd).repartition(5))
+    want = sorted(rows_of(held.transform(rows), "order_id", *feats.NUMERIC_V2[1:], "probability_low", "prediction"))
+    monkeypatch.setattr(forests, "HELD_NODES", 10)
+    monkeypatch.setattr(forests, "TASK_NODES", 1_500)
+    monkeypatch.setattr(forests, "STORED_NODES", 9)
+    large = risk.fit_rf(df, encoding, {"numTrees": 5})
+    risk.save_model(large, str(tmp_path / "large"), spark)
+    for model in (large, risk.load_model(str(tmp_path / "large"), spark)):
+        assert isinstance(model.forest, forests.StoredForest)
+        got = model.transform(rows)
+        assert got.columns == [*rows.columns, "probability_low", "prediction"]
+        found = sorted(rows_of(got, "order_id", *feats.NUMERIC_V2[1:], "probability_low", "prediction"))
+        assert len(found) == len(want) and all(f == pytest.approx(w, abs=1e-12) for f, w in zip(found, want, strict=True))
+        assert model.forest.importances() == pytest.approx(held.forest.importances(), abs=1e-12)
+    assert large.transform(rows.limit(0)).count() == 0
+
+
 def test_cluster_names(spark):
     rows = [(0, 10, 100.0, 1.0, 50.0), (1, 5, 200.0, 1.0, 900.0), (2, 7, 150.0, 2.1, 60.0), (3, 9, 300.0, 1.0, 55.0)]
     columns = "cluster int, customers long, avg_recency double, avg_frequency double, avg_monetary double"
